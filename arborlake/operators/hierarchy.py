@@ -129,7 +129,6 @@ def resolve_hierarchy(
     steps = steps.repartitionByRange(pieces(n, local_rows, spark), "_at", "id").drop("_at")
     levels = [scratch(_contract(steps, with_path), "hier")]
     sizes = [n]
-    parents = None
     while True:
         base = levels[-1]
         exits = base.where(F.col("state") == _OPEN).groupBy(F.col("next").alias("id")).agg(F.lit(1).alias("_x")).select("id")
@@ -137,8 +136,6 @@ def resolve_hierarchy(
         solved = base.join(exits, "id", "left_semi").where(F.col("state") != _OPEN)
         quotient = scratch(quotient, "quot")
         m = quotient.count()
-        if m == 0:
-            break
         if m <= local_rows:
             level = _contract(quotient.coalesce(1), with_path)
         else:
@@ -149,8 +146,8 @@ def resolve_hierarchy(
         sizes.append(m)
         if m <= local_rows:
             break
-    del parents
-    done = _finish(levels[-1], None, with_path, sizes[-1])
+    last = levels[-1]  # its open rows leave by a row solved earlier, or by a parent that has no row
+    done = _finish(last, _finish(last.where(F.col("state") != _OPEN), None, with_path, 0), with_path, sizes[-1])
     for lower, size in zip(reversed(levels[:-1]), reversed(sizes[:-1]), strict=True):
         done = _finish(lower, scratch(done, "done"), with_path, size)
     return done.select("id", "root", "depth", "cycle_min_id", *(["path"] if with_path else []))

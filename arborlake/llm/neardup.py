@@ -2,11 +2,13 @@
 
 A record is the set of its runs of three consecutive tokens. The feature domain
 is partitioned into cells (a 64-bit hash); sets whose likeness reaches the
-threshold must, by the pigeonhole principle, share a cell among the few rarest
-that the size of a set prescribes. A cell that is crowded is not used alone:
-subsets of two cells are enumerated in its place, from one more of the rarest
-cells, which similar sets must share too. Rarity is counted over all records in
-a table of fixed size, so its order is global and the broadcast has a fixed size.
+threshold must, by the pigeonhole principle, share a subset of SUBSET cells among
+the few rarest that the size of a set prescribes. The subsets of cells are not
+written out: a pair of classes shares one exactly if it meets in SUBSET cells,
+which the join on single cells counts. A crowded cell is not joined alone:
+subsets of two cells with it are enumerated in its place, and one such subset is
+enough. Rarity is counted over all records in a table of fixed size, so its
+order is global and the broadcast has a fixed size.
 
 Exact copies are one class from the start: signatures are made unique by class,
 so a class of a third of all rows weighs as one. Candidate classes of sizes that
@@ -33,7 +35,9 @@ from arborlake.core import BROADCAST_ROWS, scratch
 from arborlake.operators.components import connected_components
 
 #: Consecutive tokens of a feature, likeness, counters of the rarity table.
-RUN, LIKENESS, COUNTERS = 3, 0.6, 1 << 16
+RUN, LIKENESS, COUNTERS = 3, 0.6, 1 << 18
+#: Cells that similar sets must share among their rarest.
+SUBSET = 4
 #: A cell is crowded if its counter holds more than CROWD_LEAST features and CROWD_FACTOR times the mean.
 CROWD_LEAST, CROWD_FACTOR = 2_000, 8
 
@@ -64,27 +68,31 @@ def features(text: str | None, seen: dict[str, int] | None = None, run: int = RU
     return np.unique(h)
 
 
-def signatures(f: np.ndarray, counts: np.ndarray, crowded: float, likeness: float = LIKENESS) -> np.ndarray:
-    """The signatures of one set; sets with the likeness share at least one."""
+def _counter(f: np.ndarray) -> np.ndarray:
+    return (f >> np.uint64(46)).astype(np.int64)
+
+
+def signatures(f: np.ndarray, counts: np.ndarray, crowded: float, likeness: float = LIKENESS) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, weights) of one set; the weights that two similar sets share add up to SUBSET, or to all that the smaller needs."""
     n = len(f)
     if not n:
-        return f
+        return f, np.zeros(0, dtype=np.int32)
     need = math.ceil(likeness * n - 1e-9)
-    load = counts[(f >> np.uint64(48)).astype(np.int64) % len(counts)]
-    order = np.lexsort((f, np.floor(np.log2(load + 1)).astype(np.int64)))
-    cells = f[order]
-    first = cells[: n - need + 1]
-    hot = load[order][: len(first)] > crowded
+    load = counts[_counter(f)]
+    order = np.lexsort((f, load))
+    cells = f[order][: n - need + min(SUBSET, need)]
+    hot = load[order][: len(cells)] > crowded
     if need < 2 or not hot.any():
-        return first
-    second = cells[: n - need + 2]
+        return cells, np.ones(len(cells), dtype=np.int32)
     pairs = []
-    for c in first[hot]:
-        other = second[second != c]
+    for c in cells[hot]:
+        other = cells[cells != c]
         lo, hi = np.minimum(c, other), np.maximum(c, other)
         x = (lo * _MUL ^ hi) * _MUL
         pairs.append(x ^ (x >> np.uint64(31)))
-    return np.unique(np.concatenate([first[~hot], *pairs]))
+    both = np.unique(np.concatenate(pairs))
+    plain = cells[~hot]
+    return np.concatenate([plain, both]), np.concatenate([np.ones(len(plain), dtype=np.int32), np.full(len(both), SUBSET, dtype=np.int32)])
 
 
 def _featured(records: DataFrame, key: str, text: str) -> DataFrame:
@@ -112,16 +120,15 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
         for b in batches:
-            for f in b["f"]:
-                total += np.bincount((np.asarray(f, dtype=np.int64).view(np.uint64) >> np.uint64(48)).astype(np.int64) % COUNTERS, minlength=COUNTERS) if len(f) > 4096 else 0
-                if len(f) <= 4096:
-                    np.add.at(total, (np.asarray(f, dtype=np.int64).view(np.uint64) >> np.uint64(48)).astype(np.int64) % COUNTERS, 1)
+            if len(b):
+                f = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["f"]]).view(np.uint64)
+                total += np.bincount(_counter(f), minlength=COUNTERS)
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"c": at, "n": total[at]}).astype({"c": "int64", "n": "int64"})
 
     counts = np.zeros(COUNTERS, dtype=np.int64)
-    for r in sets.select("f").mapInPandas(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows at most
-        counts[r[0]] = r[1]
+    table = sets.select("f").mapInPandas(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts[table["c"].to_numpy()] = table["n"].to_numpy()
     return counts
 
 
@@ -136,22 +143,26 @@ def similar_classes(records: DataFrame, key: str = "id", text: str = "snippet",
     def sign(batches):
         c = table.value
         for b in batches:
-            sig, h, n = [], [], []
+            sig, h, n, w = [], [], [], []
             for f, x in zip(b["f"], b["h"], strict=True):
-                s = signatures(np.asarray(f, dtype=np.int64).view(np.uint64), c, crowded, likeness)
+                s, weights = signatures(np.asarray(f, dtype=np.int64).view(np.uint64), c, crowded, likeness)
                 sig.append(s.view(np.int64))
+                w.append(weights)
                 h.append(np.full(len(s), x, dtype=np.int64))
                 n.append(np.full(len(s), len(f), dtype=np.int32))
             if sig:
-                yield pd.DataFrame({"sig": np.concatenate(sig), "h": np.concatenate(h), "n": np.concatenate(n)})
+                yield pd.DataFrame({"sig": np.concatenate(sig), "h": np.concatenate(h), "n": np.concatenate(n), "w": np.concatenate(w)})
 
-    signed = sets.select("h", "f").mapInPandas(sign, "sig long, h long, n int")
+    signed = sets.select("h", "f").mapInPandas(sign, "sig long, h long, n int, w int")
     signed = signed.repartition("sig").dropDuplicates(["sig", "h", "n"])
     a, b = signed.alias("a"), signed.alias("b")
+    small = F.least("a.n", "b.n")
     near = (
         a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.n") >= F.lit(likeness) * F.col("b.n") - 1e-6) & (F.col("b.n") >= F.lit(likeness) * F.col("a.n") - 1e-6))
-        .select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
-        .distinct()
+        .groupBy(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
+        .agg(F.sum("a.w").alias("shared"), F.min(F.least(F.lit(SUBSET), F.ceil(small * likeness - 1e-9))).alias("least"))
+        .where(F.col("shared") >= F.col("least"))
+        .select("ha", "hb")
     )
     near = scratch(near, "near")
     wanted = near.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()

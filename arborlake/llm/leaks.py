@@ -71,6 +71,13 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, best // MATCH
 
 
+def _member(g: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of g are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(g), dtype=bool)
+    return keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g
+
+
 class _Block:
     """The n-grams of a block of items as number sequences over the items' own vocabulary."""
 
@@ -131,8 +138,8 @@ def _hits(docs: DataFrame, block: _Block) -> DataFrame:
                 g = b.grams(b.numbers(t))
                 g = g[g != 0]
                 if len(g):
-                    for x in np.unique(g[np.isin(g, b.keys)]):
-                        out[int(x)] += 1
+                    for x in set(g[_member(g, b.keys)].tolist()):
+                        out[x] += 1
             yield pd.DataFrame({"gram": list(out.keys()), "n": list(out.values())}).astype({"gram": "int64", "n": "int64"})
 
     return docs.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -149,7 +156,7 @@ def _align(docs: DataFrame, block: _Block, seeds: dict[int, list[tuple[int, int]
             for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 w = b.numbers(t)
                 g = b.grams(w)
-                at = np.nonzero(np.isin(g, keys))[0]
+                at = np.nonzero((g != 0) & _member(g, keys))[0]
                 found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
                 for q in at:
                     for i, p in seed[int(g[q])]:

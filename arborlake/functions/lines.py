@@ -24,10 +24,15 @@ SPEC_ERRORS = (
 MAX_LINES, HEAD, TAIL = 60, 25, 35
 
 
+def bind(value: Column, fn) -> Column:
+    """fn over the value computed once; without it a higher-order function evaluates its captured arrays for every element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """The lines of a text."""
-    parts = F.split(text, "\r?\n")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+    cut = bind(F.split(text, "\r?\n"), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(cut)
 
 
 def join_lines(lines: Column) -> Column:
@@ -54,26 +59,44 @@ def _blank(line: Column) -> Column:
 
 def collapse_blank(lines: Column) -> Column:
     """Consecutive blank lines become one empty line."""
-    kept = F.filter(lines, lambda x, i: ~(_blank(x) & (i > 0) & _blank(F.get(lines, i - 1))))
-    return F.transform(kept, lambda x: F.when(_blank(x), F.lit("")).otherwise(x))
+
+    def run(ls: Column) -> Column:
+        kept = F.filter(ls, lambda x, i: ~(_blank(x) & (i > 0) & _blank(F.get(ls, i - 1))))
+        return F.transform(kept, lambda x: F.when(_blank(x), F.lit("")).otherwise(x))
+
+    return bind(lines, run)
 
 
 def collapse_repeats(lines: Column) -> Column:
     """Runs of one non-blank line become the line with their count."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i) != F.get(lines, i - 1)) | _blank(F.get(lines, i)))
-    runs = F.transform(starts, lambda s, j: F.struct(s.alias("s"), (F.coalesce(F.get(starts, j + 1), F.size(lines)) - s).alias("n")))
-    out = F.transform(runs, lambda r: F.when(r["n"] > 1, F.concat(F.get(lines, r["s"]), F.lit(" [repeated "), r["n"].cast("string"), F.lit(" times]"))).otherwise(F.get(lines, r["s"])))
-    return F.when(F.size(lines) == 0, lines).otherwise(out)
+
+    def run(ls: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | (F.get(ls, i) != F.get(ls, i - 1)) | _blank(F.get(ls, i)))
+
+        def write(starts: Column) -> Column:
+            def one(s: Column, j: Column) -> Column:
+                n = F.coalesce(F.get(starts, j + 1), F.size(ls)) - s
+                return F.when(n > 1, F.concat(F.get(ls, s), F.lit(" [repeated "), n.cast("string"), F.lit(" times]"))).otherwise(F.get(ls, s))
+
+            return F.transform(starts, one)
+
+        return F.when(F.size(ls) == 0, ls).otherwise(bind(found, write))
+
+    return bind(lines, run)
 
 
 def head_tail(lines: Column, max_lines: int = MAX_LINES, head: int = HEAD, tail: int = TAIL, errors=GENERIC_ERRORS) -> Column:
     """First and last lines, the number left out, and the error lines of the middle."""
-    n = F.size(lines)
-    middle = F.slice(lines, head + 1, F.greatest(n - head - tail, F.lit(0)))
-    saved = F.filter(middle, lambda x: any_of(x, errors))
-    note = F.array(F.concat(F.lit("... ["), (n - head - tail).cast("string"), F.lit(" lines omitted] ...")))
-    last = F.slice(lines, n - tail + 1, tail)
-    return F.when(n > max(max_lines, head + tail), F.concat(F.slice(lines, 1, head), note, saved, last)).otherwise(lines)
+
+    def run(ls: Column) -> Column:
+        n = F.size(ls)
+        middle = F.slice(ls, head + 1, F.greatest(n - head - tail, F.lit(0)))
+        saved = F.filter(middle, lambda x: any_of(x, errors))
+        note = F.array(F.concat(F.lit("... ["), (n - head - tail).cast("string"), F.lit(" lines omitted] ...")))
+        last = F.slice(ls, F.greatest(n - tail + 1, F.lit(1)), F.lit(tail))
+        return F.when(n > max(max_lines, head + tail), F.concat(F.slice(ls, 1, head), note, saved, last)).otherwise(ls)
+
+    return bind(lines, run)
 
 
 def generic_filter(text: Column) -> Column:
@@ -134,10 +157,14 @@ SPECS = [
 
 def entropy(s: Column) -> Column:
     """Shannon entropy in bits a character, exact to double rounding; 0 for an empty string."""
-    n = F.length(s)
-    distinct = F.array_distinct(F.split(s, ""))
-    sum_ = F.aggregate(distinct, F.lit(0.0), lambda acc, c: acc + F.when(c == "", F.lit(0.0)).otherwise(_plogp((n - F.length(F.replace(s, c, F.lit("")))) / n)))
-    return F.when(n == 0, F.lit(0.0)).otherwise(-sum_)
+
+    def run(t: Column) -> Column:
+        n = F.length(t)
+        chars = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
+        h = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc + bind((n - F.length(F.replace(t, c, F.lit("")))) / n, _plogp))
+        return F.when(n == 0, F.lit(0.0)).otherwise(-h)
+
+    return bind(s, run)
 
 
 def _plogp(p: Column) -> Column:

@@ -55,7 +55,7 @@ def content_hash(s: Column) -> Column:
 def luhn(s: Column) -> Column:
     """Whether 13 to 16 digits remain and pass the card checksum."""
     digits = F.regexp_replace(s, "[^0-9]", "")
-    return F.length(digits).between(13, 16) & F.luhn_check(digits)
+    return F.length(digits).between(13, 16) & F.call_function("luhn_check", digits)
 
 
 def line_of(text: Column, position: Column) -> Column:

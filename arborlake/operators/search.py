@@ -80,7 +80,7 @@ def search(nodes: DataFrame, n: DataFrame, e: DataFrame, query: str, rows: int =
     hits = ranked(n, e, expand(n, e, found))
     text = nodes.select("id", "name", "kind", "file_path", "start_line", "end_line", "snippet").dropDuplicates(["id"])
     x = text.join(F.broadcast(hits), "id")
-    first = F.element_at(L.split_lines(F.coalesce("snippet", F.lit(""))), 1)
+    first = F.get(L.split_lines(F.coalesce("snippet", F.lit(""))), F.lit(0))
     loc = F.concat(F.coalesce("file_path", F.lit("")), F.when(F.col("start_line") > 0, F.format_string(":L%d-L%d", "start_line", "end_line")).otherwise(F.lit("")))
     forms = {"full": L.join_lines(L.entropy_filter(L.split_lines(F.coalesce("snippet", F.lit(""))))), "signature": F.coalesce(first, F.col("name")), "map": F.format_string("%s (%s) — %s", "name", "kind", loc)}
     x = x.select("position", "id", "tier", "edge_count", *(f.alias(k) for k, f in forms.items()))

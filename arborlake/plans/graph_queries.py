@@ -33,8 +33,8 @@ def _c(s, d):
 
 
 def _seeds(n):
-    """Every class is a seed."""
-    return n.where("kind = 'class'").select("id")
+    """Every method is a seed."""
+    return n.where("kind = 'method'").select("id")
 
 
 def _calls(e):
@@ -142,12 +142,12 @@ g AS (SELECT node_id FROM d WHERE degree >= greatest(20, (SELECT degree FROM (SE
 v AS (SELECT id, c, count(*) AS v FROM (SELECT source_id AS id, t_c AS c FROM m UNION ALL SELECT target_id, s_c FROM m) WHERE c IS NOT NULL AND id IN (SELECT node_id FROM g) GROUP BY 1, 2)
 SELECT id, c AS community_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, c) AS r FROM v) WHERE r = 1""",
     "community_listing": _with(_V) + "SELECT c.id, label, node_count, hub_node_id, coalesce(k, 0) AS members FROM c LEFT JOIN (SELECT community_id, count(*) AS k FROM n GROUP BY 1) x ON x.community_id = c.id",
-    "reach_hops": _with(_V, """r AS (SELECT id, 0 AS hop FROM n WHERE kind = 'class' UNION SELECT e.target_id, r.hop + 1 FROM r JOIN e ON e.source_id = r.id WHERE e.resolved = 1 AND e.kind IN ('calls','inherits','imports') AND r.hop < 3)""", recursive=True) + "SELECT id, min(hop) AS hop FROM r WHERE id IS NOT NULL GROUP BY 1",
+    "reach_hops": _with(_V, """r AS (SELECT id, 0 AS hop FROM n WHERE kind = 'method' UNION SELECT e.target_id, r.hop + 1 FROM r JOIN e ON e.source_id = r.id WHERE e.resolved = 1 AND e.kind IN ('calls','inherits','imports') AND r.hop < 3)""", recursive=True) + "SELECT id, min(hop) AS hop FROM r WHERE id IS NOT NULL GROUP BY 1",
     "symbol_disambiguation": _with(_V) + """, q AS (SELECT unnest(['emit', 'external:logkit.emit', 'Lantern', 'nothing at all']) AS query),
 x AS (SELECT DISTINCT query, n.id FROM n, q WHERE n.id = query OR name = query OR qualified_name = query)
 SELECT query, id, 'exact' AS how FROM x UNION ALL SELECT query, id, 'like' FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY id) AS r FROM (
  SELECT DISTINCT query, n.id FROM n, q WHERE query NOT IN (SELECT query FROM x) AND (name ILIKE '%' || query || '%' OR qualified_name ILIKE '%' || query || '%'))) WHERE r <= 5""",
-    "impact_radius": _with(_V, _DEG, """r AS (SELECT id, 0 AS hop FROM n WHERE kind = 'class' UNION SELECT e.source_id, r.hop + 1 FROM r JOIN e ON e.target_id = r.id WHERE e.resolved = 1 AND e.kind IN ('calls','inherits') AND r.hop < 3
+    "impact_radius": _with(_V, _DEG, """r AS (SELECT id, 0 AS hop FROM n WHERE kind = 'method' UNION SELECT e.source_id, r.hop + 1 FROM r JOIN e ON e.target_id = r.id WHERE e.resolved = 1 AND e.kind IN ('calls','inherits') AND r.hop < 3
  AND (r.hop = 0 OR r.id NOT IN (SELECT node_id FROM h)))""", recursive=True) + "SELECT id, min(hop) AS hop FROM r WHERE id IS NOT NULL GROUP BY 1",
     "import_cycles_k": _with(_V) + """, f AS (SELECT DISTINCT source_id AS s, target_id AS t FROM e WHERE kind = 'imports' AND resolved = 1 AND source_id LIKE 'file:%' AND target_id LIKE 'file:%' AND source_id <> target_id)
 SELECT 2 AS length, concat_ws(' > ', a.s, a.t) AS cycle FROM f a JOIN f b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t

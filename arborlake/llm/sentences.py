@@ -53,6 +53,7 @@ _EVENT = re.compile(r"\n[^\S\n]*\n\s*|\n|[.!?…。！？｡।॥؟۔]+|[\"“
 _SPACE = re.compile(r"\s*")
 _WORD_END = re.compile(r"(?:^|[^\w./\\@-])[^\W\d_A-Z]{2,}$|\b[A-Z][a-z]{2,}$|[؀-ۿ]{2,}$|\d$|\)$")
 _WORD_START = re.compile(r"[\"«„“¿¡(]?(?:[^\W\d_a-z]|[A-Z])[^\W_]*(?!\.?\w|\.\w)")
+_LETTER_DOT = re.compile(r"\s?[^\W\d_]\.")
 _HEADING = re.compile(r"[^\S\n]*#{1,6}\s")
 
 # states: 0 outside; 1..12 inside quotation kind k (1..6), odd without, even with a colon before; 13..15 in brackets
@@ -105,7 +106,7 @@ def _stop(t: str, i: int, j: int, ws: str, kind: str) -> bool:
         return True
     if _OPEN_PAIR.search(before):
         return False
-    if low in _ABBREVIATIONS:
+    if low in _ABBREVIATIONS or (len(word) == 1 and _LETTER_DOT.match(t, j)):
         return False
     return not (len(word) == 1 and word.isalpha() and (word.isupper() or not word.isascii()) and not n.isdigit())
 

@@ -49,7 +49,7 @@ _RULES = {
         r"M[=]",
     ],
     "kotlin": [
-        r"[a0sv\])][a0sv]", r"F(?![aTM(<@{])", r"F\{", r"D(?![aM(])", r"C(?![aM\n{:])", r"@@", r"P(?:[aM]\.?)*[^aM.\n*;o]", r"P\n",
+        r"[a0sv\]][a0sv]", r"F(?![aTM(<@{])", r"F\{", r"D(?![aM(])", r"C(?![aM\n{:])", r"@@", r"P(?:[aM]\.?)*[^aM.\n*;o]", r"P\n",
         r"[({\[;,]\n*[b=?%]", r"[b=%+\-.]\n*[;)\]}]", r"[-+*/%b=,\[(]\n*[B]", r"[-+*/%b=,\[(]R", r"^\n*[<=b]", r"b\n*[b*/%]", r"[=(,R]\{\{", r"F[^\n{]*\):\n", r":\n*\n[DRIF}]", r"(?:^|\n)C[^\n{]*:(?=\n|$)", r"E:", r"I[^(\n{:]*:(?:\n|$)", r"I(?![({\n])", r"(?:^|\n)[0s]+(?:\n|$)(?!.)",
         r"(?:^|\n)-[RDIF]", r"D\w\n*[(.]", r"D[aM](?=\n|$|\})",
     ],
@@ -94,7 +94,7 @@ def _brackets(c: str, lang: str) -> str | None:
                 tup = lang == "csharp" and "," in inner
                 if not cast and not note and not tup:
                     return "adjacent"
-            elif lang in ("javascript", "typescript"):
+            elif lang in ("javascript", "typescript", "kotlin"):
                 if not (before == "@" or (at > 1 and c[at - 2] == "@")):
                     return "adjacent"
             elif lang == "rust":

@@ -182,8 +182,10 @@ def spans(text: str | None, language: str | None, name: str | None):
 _SPANS = "struct<forward:boolean, line:int, breaks:array<int>, comments:array<struct<s:int, e:int, form:boolean, description:string, words:int>>>"
 
 
-def _extract(nodes: DataFrame) -> DataFrame:
-    schema = f"id string, name string, code string, signature string, found {_SPANS}"
+def _extract(nodes: DataFrame, with_code: bool) -> DataFrame:
+    """Spans of every function and method that has a comment; the text itself goes along only where it is wanted."""
+    more = ["code", "signature"] if with_code else []
+    schema = "id string, name string, " + "".join(f"{c} string, " for c in more) + f"found {_SPANS}"
 
     def run(batches):
         for b in batches:
@@ -191,29 +193,33 @@ def _extract(nodes: DataFrame) -> DataFrame:
             for i, n, p, s, g in zip(b["id"], b["name"], b["path"], b["snippet"], b["signature"], strict=True):
                 found = spans(s, language_of(p), n)
                 if found is not None and found[3]:
-                    out.append((i, n, s, g, {"forward": found[0], "line": found[1], "breaks": found[2], "comments": [dict(zip(("s", "e", "form", "description", "words"), c, strict=True)) for c in found[3]]}))
-            yield pd.DataFrame(out, columns=["id", "name", "code", "signature", "found"])
+                    marks = {"forward": found[0], "line": found[1], "breaks": found[2], "comments": [dict(zip(("s", "e", "form", "description", "words"), c, strict=True)) for c in found[3]]}
+                    out.append((i, n, *((s, g) if with_code else ()), marks))
+            yield pd.DataFrame(out, columns=["id", "name", *more, "found"])
 
     path = F.coalesce(F.nullif("file_path", F.lit("")), F.regexp_extract("id", "^[^:]*:(.*?)(?:::|$)", 1))
     rows = nodes.where("kind in ('function', 'method') and id is not null and snippet is not null and snippet <> ''").select("id", "name", path.alias("path"), "snippet", "signature")
     return rows.mapInPandas(run, schema)
 
 
-def documented_pairs(nodes: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, name, signature, code, description, n_words) for functions and methods whose documentation says something."""
+def _joined(nodes: DataFrame, least_words: int, with_code: bool) -> DataFrame:
+    """Functions with their nearest comment c, those rejected left out."""
     f = F.col("found")
     line = f["line"]
-    above = F.array_max(F.transform(F.filter(f["comments"], lambda c: c["e"] < line), lambda c: F.struct(c["e"].alias("e"), c["form"].alias("form"), c["description"].alias("description"), c["words"].alias("words"))))
-    below = F.array_min(F.transform(F.filter(f["comments"], lambda c: c["s"] >= line), lambda c: F.struct(c["s"].alias("e"), c["form"].alias("form"), c["description"].alias("description"), c["words"].alias("words"))))
-    near = _extract(nodes).withColumn("c", F.when(f["forward"], below).otherwise(above))
+    at = lambda c, k: F.struct(c[k].alias("e"), c["form"].alias("form"), c["description"].alias("description"), c["words"].alias("words"))
+    above = F.array_max(F.transform(F.filter(f["comments"], lambda c: c["e"] < line), lambda c: at(c, "e")))
+    below = F.array_min(F.transform(F.filter(f["comments"], lambda c: c["s"] >= line), lambda c: at(c, "s")))
+    near = _extract(nodes, with_code).withColumn("c", F.when(f["forward"], below).otherwise(above))
     parted = F.exists(f["breaks"], lambda b: (b > F.col("c.e")) & (b < line) | (b < F.col("c.e")) & (b > line))
-    return (
-        near.where(F.col("c").isNotNull() & F.col("c.form") & (F.col("c.words") >= least_words) & ~parted)
-        .select("id", "name", "signature", "code", F.col("c.description").alias("description"), F.col("c.words").alias("n_words"))
-        .dropDuplicates(["id", "code"])
-    )
+    return near.where(F.col("c").isNotNull() & F.col("c.form") & (F.col("c.words") >= least_words) & ~parted)
+
+
+def documented_pairs(nodes: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(id, name, signature, code, description, n_words) for functions and methods whose documentation says something."""
+    rows = _joined(nodes, least_words, True).select("id", "name", "signature", "code", F.col("c.description").alias("description"), F.col("c.words").alias("n_words"))
+    return rows.withColumn("_h", F.xxhash64("code")).dropDuplicates(["id", "_h"]).drop("_h")
 
 
 def documented(nodes: DataFrame) -> DataFrame:
     """(id) of functions and methods with documentation that says something."""
-    return documented_pairs(nodes).select("id").distinct()
+    return _joined(nodes, LEAST_WORDS, False).select("id").distinct()

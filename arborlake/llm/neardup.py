@@ -38,8 +38,8 @@ from arborlake.operators.components import connected_components
 RUN, LIKENESS, COUNTERS = 3, 0.6, 1 << 18
 #: Cells that similar sets must share among their rarest.
 SUBSET = 4
-#: A cell is crowded if its counter holds more than CROWD_LEAST features and CROWD_FACTOR times the mean.
-CROWD_LEAST, CROWD_FACTOR = 2_000, 8
+#: A cell is crowded if its counter holds more features; at sizes where most counters do, most signatures are subsets of two cells.
+CROWDED = 2_000
 
 _TOKEN = re.compile(r"[a-z0-9_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +137,7 @@ def similar_classes(records: DataFrame, key: str = "id", text: str = "snippet",
     spark = records.sparkSession
     sets = scratch(_featured(records, key, text), "sets")
     counts = _rarity(sets)
-    crowded = max(CROWD_LEAST, CROWD_FACTOR * counts.mean())
+    crowded = CROWDED
     table = spark.sparkContext.broadcast(counts)
 
     def sign(batches):

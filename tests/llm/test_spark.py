@@ -52,8 +52,7 @@ def variants(n=60, seed=3):
 
 @pytest.mark.parametrize("crowd", [2000, 3])
 def test_near_duplicates_equal_brute_force(spark, crowd, monkeypatch):
-    monkeypatch.setattr(neardup, "CROWD_LEAST", crowd)
-    monkeypatch.setattr(neardup, "CROWD_FACTOR", 0)
+    monkeypatch.setattr(neardup, "CROWDED", crowd)
     rows = variants()
     df = spark.createDataFrame([(i, "function", "f", "r/a.py", None, s) for i, s in rows] + [("none", "function", "f", "a", None, None), (None, "method", "m", "a", None, "x y z")], NODES)
     df = clash(df.unionByName(df.limit(30)))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.core import LOCAL_ROWS, lookup, pieces, scratch
+from arborlake.core import LOCAL_ROWS, lookup, pieces, scratch, small
 
 _STEP = "id string, next string, hops long, seg_min string, top string"
 _OPEN, _ROOT, _CYCLE = 0, 1, 2
@@ -139,8 +139,13 @@ def resolve_hierarchy(
         if m <= local_rows:
             level = _contract(quotient.coalesce(1), with_path)
         else:
-            follow = F.pmod(F.xxhash64("id", F.lit(len(levels))), F.lit(2)) == 0
-            level = _contract(quotient.repartition(pieces(m, local_rows, spark), F.when(follow, F.col("next")).otherwise(F.col("id"))), with_path)
+            # a parent with too many steps below it is not followed: its children would meet in one task, and
+            # they leave the quotient anyway once what is below them has been contracted
+            hot = quotient.groupBy("next").count().where(F.col("count") > local_rows // 4).select("next", F.lit(1).alias("_hot"))  # fewer than 4 m / local_rows rows
+            q = quotient.join(small(hot), "next", "left")
+            follow = (F.pmod(F.xxhash64("id", F.lit(len(levels))), F.lit(2)) == 0) & F.col("_hot").isNull()
+            q = q.repartition(pieces(m, local_rows, spark), F.when(follow, F.col("next")).otherwise(F.col("id"))).select(quotient.columns)
+            level = _contract(q, with_path)
         # rows already solved below stay known to the level above
         levels.append(scratch(level.unionByName(solved.select(level.columns)), "hier"))
         sizes.append(m)

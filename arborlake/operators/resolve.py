@@ -81,12 +81,12 @@ def cache_state(files: DataFrame, cache: DataFrame) -> DataFrame:
     return f.join(c, f.rel_path == c.file_path, "left").select("rel_path", F.when(F.col("cached").isNull(), "miss").when(F.col("cached") == F.col("sha"), "hit").otherwise("stale").alias("state"))
 
 
-def definitions(payloads: DataFrame) -> DataFrame:
-    """(file_path, ord, kind, name, start, end, parent_ord): parent is the innermost definition that encloses it, the earlier one on equal ranges."""
-    d = payloads.select("file_path", F.array_sort(F.transform("p.definitions", lambda x: F.struct(x["start_byte"].alias("s"), (-x["end_byte"]).alias("neg"), x["local_name"].alias("name"), x["kind"].alias("kind")))).alias("ds")).where(F.size("ds") > 0)
+def definitions(payloads: DataFrame, with_line: bool = False) -> DataFrame:
+    """(file_path, ord, kind, name, start, end, parent_ord[, line]): parent is the innermost definition that encloses it, the earlier one on equal ranges."""
+    d = payloads.select("file_path", F.array_sort(F.transform("p.definitions", lambda x: F.struct(x["start_byte"].alias("s"), (-x["end_byte"]).alias("neg"), x["local_name"].alias("name"), x["kind"].alias("kind"), x["start_line"].alias("line")))).alias("ds")).where(F.size("ds") > 0)
     x = d.select("file_path", "ds", F.posexplode("ds").alias("ord", "x"))
     around = F.filter(F.transform(F.sequence(F.lit(0), F.col("ord")), lambda k: F.when((k < F.col("ord")) & (F.get("ds", k)["s"] <= F.col("x.s")) & (F.get("ds", k)["neg"] <= F.col("x.neg")), k)), lambda k: k.isNotNull())
-    return x.select("file_path", "ord", F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), F.col("x.s").alias("start"), (-F.col("x.neg")).alias("end"), F.array_max(around).alias("parent_ord"))
+    return x.select("file_path", "ord", F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), F.col("x.s").alias("start"), (-F.col("x.neg")).alias("end"), F.array_max(around).alias("parent_ord"), *([F.col("x.line").alias("line")] if with_line else []))
 
 
 def innermost_calls(payloads: DataFrame) -> DataFrame:

@@ -66,3 +66,14 @@ def test_hub_parent(spark):
     rows = [("hub", "top", "x"), ("top", None, "x")] + [(f"k{i}", "hub", "x") for i in range(3000)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert got(resolve_hierarchy(df, local_rows=100)) == brute(rows)
+
+
+def test_hub_inside_the_quotient(spark):
+    """Many chains hang below one node, so that the hub is the exit of many exits."""
+    rows = [("hub", "top", "x"), ("top", None, "x")]
+    for c in range(150):
+        rows += [(f"c{c:03d}_{i}", f"c{c:03d}_{i - 1}" if i else "hub", "x") for i in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    from pyspark.sql import functions as F
+
+    assert got(resolve_hierarchy(df, locality=F.xxhash64("id"), local_rows=40)) == brute(rows)

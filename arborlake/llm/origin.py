@@ -69,6 +69,9 @@ def _code_lines(tokens: list[str], classes: list[str]) -> tuple[list[str], int,
             continue
         dirty = True
         n += 1
+        if c == "s" and not line and depth <= 0:  # a string that is a statement is documentation, not data
+            line.append(c)
+            continue
         code += len(t)
         if c in "s0":
             lit += len(t)

@@ -208,3 +208,8 @@ def test_sentences(marked):
 
 def test_no_sentences():
     assert sentence_starts(None) == [] and sentence_starts("") == [] and sentence_starts(" \n\n ") == []
+
+
+def test_hex_tokens_with_uneven_digits_and_docstring_files():
+    assert C.find_credentials('a("token=c297d7ff93270311cc7c1314ff3df7f7ffd5f37c")') and not C.find_credentials('a("token=00000000000000000000000000000000")')
+    assert evidence("r/a.py", '"""' + "Long words about this module. " * 60 + '"""\nimport a\nimport b\n')[0] is None

@@ -9,6 +9,7 @@ from arborlake.operators import build as B
 from arborlake.operators import concepts as C
 from arborlake.operators import graph as G
 from arborlake.operators import resolve as R
+from arborlake.operators import textstate as T
 from arborlake.plans.graph_queries import _V, _g, _with
 from arborlake.plans.text_queries import _LS, _lines
 
@@ -65,3 +66,22 @@ SQL = {
     "skill_usage": "SELECT user_id::VARCHAR AS skill, count(*) FILTER (event_type = 'click') AS uses, count(*) FILTER (event_type <> 'click') AS views FROM events GROUP BY 1",
     "readme_summary": "SELECT doc_id, nullif(regexp_extract(text, '(?m)^#\\s+(.+)$', 1), '') AS title, 0 AS commands FROM documents WHERE doc_kind = 'concept' AND text IS NOT NULL",
 }
+
+
+def _pages(s):
+    rows = [("a", "@b\n@c\n"), ("b", "@c\nx\n@a\n"), ("c", "end"), ("d", "@nope\n"), ("e", "no refs")]
+    return s.createDataFrame(rows, "path string, text string")
+
+
+QUERIES |= {
+    "fenced_lines": lambda s, d: T.fenced(_lines(s, d).withColumn("line", F.when(F.col("i") % 7 == 3, "```").otherwise(F.col("line")))).groupBy("doc_id").agg(F.count_if("fence").alias("marks"), F.count_if("inside").alias("inside")),
+    "receipt_runs": lambda s, d: T.receipt_runs(table(s, d, "nodes").where("snippet is not null").select(F.col("id").alias("doc_id"), "snippet").distinct().select("doc_id", F.posexplode(F.split("snippet", "\n")).alias("i", "line"))).select("doc_id", "first", "last", F.size("values").alias("values")),
+    "import_expansion": lambda s, d: T.expand_imports(_pages(s)),
+    "signature_views": lambda s, d: table(s, d, "nodes").where("kind in ('function', 'method')").select("id", T.signature_view(F.col("snippet"), F.col("signature")).alias("view")).distinct(),
+    "blanked_comments": lambda s, d: T.apply_text(table(s, d, "discovered_files").where("content is not null").select("rel_path", "content").distinct(), T.blank_comments, "content"),
+    "budgeted_read": lambda s, d: T.budgeted_read(table(s, d, "discovered_files"), 800),
+}
+SQL |= {
+    "fenced_lines": f"WITH {_LS}, f AS (SELECT doc_id, i, CASE WHEN i % 7 = 3 THEN '```' ELSE line END AS line FROM l), g AS (SELECT doc_id, i, regexp_matches(line, '^\\s*(?:```|~~~)') AS fence FROM f), h AS (SELECT doc_id, fence, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS odd FROM g) SELECT doc_id, count(*) FILTER (fence) AS marks, count(*) FILTER (NOT fence AND odd) AS inside FROM h GROUP BY 1",
+    "import_expansion": "SELECT * FROM (VALUES ('a', 1, 'b', 'ok'), ('a', 2, 'c', 'ok'), ('a', 3, 'a', 'cycle'), ('a', 4, 'c', 'ok'), ('b', 1, 'c', 'ok'), ('b', 2, 'a', 'ok'), ('b', 3, 'b', 'cycle'), ('b', 4, 'c', 'ok'), ('d', 1, 'nope', 'missing')) v(root, ord, path, state)",
+}

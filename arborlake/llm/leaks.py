@@ -35,7 +35,7 @@ LEAK_WORDS, SEED_WORDS, BLOCK_ITEMS = 12, 5, 2_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _TAG = re.compile(r"</?[a-z!][^<>\n]{0,200}>|&(?:[a-z]{2,8}|#\d{1,6});")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\r?\n[ \t]*(?:(?:>+|//+[/!]?|#+|\*+|--+|;+|%+)[ \t]*)*(?=[^\W\d_])")
+_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\r?\n[ \t>/#*;%!-]*(?=[^\W\d_])")
 _INVISIBLE = re.compile(r"[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 

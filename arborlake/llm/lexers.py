@@ -78,7 +78,7 @@ _NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.(?!\.)
 _MARK = r"(?m:^(?:<{7}|>{7}|={7}|\|{7})(?![<>=|]).*)"
 _LINE = r"//[^\n]*"
 _BLOCK = r"/\*(?s:.*?)\*/"
-_NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?s:.*?)\*/)*\*/"
+_NESTED = r"/\*(?>[^*/]++|\*(?!/)|/(?!\*)|/\*(?>(?s:.*?)\*/))*+\*/"
 _DQ = r'"(?:\\.|[^"\\\n])*"'
 _SQ = r"'(?:\\.|[^'\\\n])*'"
 _CHAR = r"'(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\u\{[0-9a-fA-F]+\}|\\.|[^'\\\n])'"

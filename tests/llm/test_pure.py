@@ -213,3 +213,17 @@ def test_no_sentences():
 def test_hex_tokens_with_uneven_digits_and_docstring_files():
     assert C.find_credentials('a("token=c297d7ff93270311cc7c1314ff3df7f7ffd5f37c")') and not C.find_credentials('a("token=00000000000000000000000000000000")')
     assert evidence("r/a.py", '"""' + "Long words about this module. " * 60 + '"""\nimport a\nimport b\n')[0] is None
+
+
+def test_no_pattern_runs_away():
+    import time
+
+    began = time.time()
+    C.find_credentials('x = "' + "a.b (c) " * 4000 + '1"\n' + '"' + "." * 5000 + '1"' + "token=" * 3000 + "://a:" * 3000)
+    K.words("foo-\n" + "#" * 5000 + "1 " + "<" * 3000 + "a-\n" * 3000)
+    for lang in VALID:
+        why_invalid("/* " * 2000 + " */" * 500 + '"' * 3001 + "(" * 3000, lang)
+        why_invalid("a " * 20000 + "{" * 500 + "}" * 500, lang)
+    sentence_starts("A. b. " * 20000 + '"' * 3001 + "(" * 3000)
+    D.spans("// " + "-" * 4000 + "\n" + "/** " * 1000, "go", "f")
+    assert time.time() - began < 20

@@ -11,7 +11,8 @@ dependency folder or whose opening comment grants another project's licence.
 
 Defined results: null, empty and comment-only content is hand-written unless
 its folder or licence says otherwise; extensions without a lexer are judged by
-folder, licence and copies of equal text; repeated rows count once; the whole
+folder, licence and copies of equal text; repeated rows count once (of different
+texts under one path the smaller verdict counts, none before any); the whole
 text is read and no group of copies is collected.
 """
 
@@ -152,8 +153,9 @@ def classify_origin(files: DataFrame, path: str = "rel_path", text: str = "conte
                 rows.append((p, why, None if h is None else p.rpartition(".")[2] + ":" + h))
             yield pd.DataFrame(rows, columns=["rel_path", "own_reason", "canonical"])
 
-    once = files.where(F.col(path).isNotNull()).select(F.col(path).alias("p"), F.col(text).alias("t")).dropDuplicates(["p"])
-    seen = scratch(once.mapInPandas(run, "rel_path string, own_reason string, canonical string"), "origin")
+    rows = files.where(F.col(path).isNotNull()).select(F.col(path).alias("p"), F.col(text).alias("t"))
+    judged = rows.mapInPandas(run, "rel_path string, own_reason string, canonical string")  # texts stay where they were read
+    seen = scratch(judged.groupBy("rel_path").agg(F.min(F.struct("own_reason", "canonical")).alias("m")).select("rel_path", "m.*"), "origin")
     repo = F.substring_index("rel_path", "/", 1)
     copies = (
         seen.where("canonical is not null")

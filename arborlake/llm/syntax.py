@@ -9,7 +9,8 @@ parse. Rules know syntax only, not names or types.
 
 Defined results: null content and files of other extensions give null (unknown);
 an empty file, or one of comments or imports alone, is valid; repeated rows
-count once; the whole text is read.
+count once (of different texts under one path an unknown or invalid one counts);
+the whole text is read.
 """
 
 from __future__ import annotations
@@ -215,8 +216,10 @@ def flag_invalid(files: DataFrame, path: str = "rel_path", text: str = "content"
                     out.append((p, lang, why is None, why))
             yield pd.DataFrame(out, columns=["rel_path", "language", "valid", "reason"])
 
-    once = files.where(F.col(path).isNotNull()).select(F.col(path).alias("p"), F.col(text).alias("t")).dropDuplicates(["p"])
-    return once.mapInPandas(run, "rel_path string, language string, valid boolean, reason string").withColumn("repository", F.substring_index("rel_path", "/", 1))
+    rows = files.where(F.col(path).isNotNull()).select(F.col(path).alias("p"), F.col(text).alias("t"))
+    judged = rows.mapInPandas(run, "rel_path string, language string, valid boolean, reason string")  # texts stay where they were read
+    once = judged.groupBy("rel_path").agg(F.min(F.struct("valid", "language", "reason")).alias("m")).select("rel_path", "m.*")
+    return once.withColumn("repository", F.substring_index("rel_path", "/", 1))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:

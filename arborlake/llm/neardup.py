@@ -41,8 +41,13 @@ SUBSET = 4
 #: A cell is crowded if its counter holds more features; at sizes where most counters do, most signatures are subsets of two cells.
 CROWDED = 2_000
 
+#: Bits of a class number that hold the size of its set; larger sets count as the largest.
+SIZE_BITS = 20
+_SIZE = (1 << SIZE_BITS) - 1
+
 _TOKEN = re.compile(r"[a-z0-9_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_EVEN, _ODD = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(1)
 
 
 def features(text: str | None, seen: dict[str, int] | None = None, run: int = RUN) -> np.ndarray:
@@ -72,27 +77,28 @@ def _counter(f: np.ndarray) -> np.ndarray:
     return (f >> np.uint64(46)).astype(np.int64)
 
 
-def signatures(f: np.ndarray, counts: np.ndarray, crowded: float, likeness: float = LIKENESS) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, weights) of one set; the weights that two similar sets share add up to SUBSET, or to all that the smaller needs."""
+def signatures(f: np.ndarray, counts: np.ndarray, crowded: float, likeness: float = LIKENESS) -> np.ndarray:
+    """The signatures of one set: even ones are cells and weigh 1, odd ones are subsets of two cells and weigh SUBSET.
+
+    The weights that two similar sets share add up to SUBSET, or to all that the smaller needs.
+    """
     n = len(f)
     if not n:
-        return f, np.zeros(0, dtype=np.int32)
+        return f
     need = math.ceil(likeness * n - 1e-9)
     load = counts[_counter(f)]
     order = np.lexsort((f, load))
     cells = f[order][: n - need + min(SUBSET, need)]
     hot = load[order][: len(cells)] > crowded
     if need < 2 or not hot.any():
-        return cells, np.ones(len(cells), dtype=np.int32)
+        return cells & _EVEN
     pairs = []
     for c in cells[hot]:
         other = cells[cells != c]
         lo, hi = np.minimum(c, other), np.maximum(c, other)
         x = (lo * _MUL ^ hi) * _MUL
         pairs.append(x ^ (x >> np.uint64(31)))
-    both = np.unique(np.concatenate(pairs))
-    plain = cells[~hot]
-    return np.concatenate([plain, both]), np.concatenate([np.ones(len(plain), dtype=np.int32), np.full(len(both), SUBSET, dtype=np.int32)])
+    return np.concatenate([cells[~hot] & _EVEN, np.unique(np.concatenate(pairs)) | _ODD])
 
 
 def _featured(records: DataFrame, key: str, text: str) -> DataFrame:
@@ -106,7 +112,7 @@ def _featured(records: DataFrame, key: str, text: str) -> DataFrame:
                     d = hashlib.blake2b(f.tobytes(), digest_size=16)
                     keys.append(k)
                     cls.append(d.hexdigest())
-                    hs.append(int.from_bytes(d.digest()[:8], "big", signed=True))
+                    hs.append((int.from_bytes(d.digest()[:8], "big", signed=True) >> SIZE_BITS << SIZE_BITS) | min(len(f), _SIZE))
                     fs.append(f.view(np.int64))
             yield pd.DataFrame({"id": keys, "class": cls, "h": hs, "f": fs}).astype({"h": "int64"})
 
@@ -143,25 +149,26 @@ def similar_classes(records: DataFrame, key: str = "id", text: str = "snippet",
     def sign(batches):
         c = table.value
         for b in batches:
-            sig, h, n, w = [], [], [], []
+            sig, h = [], []
             for f, x in zip(b["f"], b["h"], strict=True):
-                s, weights = signatures(np.asarray(f, dtype=np.int64).view(np.uint64), c, crowded, likeness)
+                s = signatures(np.asarray(f, dtype=np.int64).view(np.uint64), c, crowded, likeness)
                 sig.append(s.view(np.int64))
-                w.append(weights)
                 h.append(np.full(len(s), x, dtype=np.int64))
-                n.append(np.full(len(s), len(f), dtype=np.int32))
             if sig:
-                yield pd.DataFrame({"sig": np.concatenate(sig), "h": np.concatenate(h), "n": np.concatenate(n), "w": np.concatenate(w)})
+                yield pd.DataFrame({"sig": np.concatenate(sig), "h": np.concatenate(h)})
 
-    signed = sets.select("h", "f").mapInPandas(sign, "sig long, h long, n int, w int")
-    signed = signed.repartition("sig").dropDuplicates(["sig", "h", "n"])
+    signed = sets.select("h", "f").mapInPandas(sign, "sig long, h long")
+    signed = signed.repartition("sig").dropDuplicates(["sig", "h"])
     a, b = signed.alias("a"), signed.alias("b")
-    small = F.least("a.n", "b.n")
+    na, nb = F.col("a.h").bitwiseAND(_SIZE), F.col("b.h").bitwiseAND(_SIZE)
+    fit = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.h") < F.col("b.h")) & (na >= F.lit(likeness) * nb - 1e-6) & (nb >= F.lit(likeness) * na - 1e-6)
+    weight = F.when(F.col("a.sig").bitwiseAND(1) == 1, SUBSET).otherwise(1)
+    small = F.least(F.col("ha").bitwiseAND(_SIZE), F.col("hb").bitwiseAND(_SIZE))
     near = (
-        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.n") >= F.lit(likeness) * F.col("b.n") - 1e-6) & (F.col("b.n") >= F.lit(likeness) * F.col("a.n") - 1e-6))
+        a.join(b, fit)
         .groupBy(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
-        .agg(F.sum("a.w").alias("shared"), F.min(F.least(F.lit(SUBSET), F.ceil(small * likeness - 1e-9))).alias("least"))
-        .where(F.col("shared") >= F.col("least"))
+        .agg(F.sum(weight).alias("shared"))
+        .where(F.col("shared") >= F.least(F.lit(SUBSET), F.ceil(small * likeness - 1e-9)))
         .select("ha", "hb")
     )
     near = scratch(near, "near")

@@ -8,6 +8,7 @@ from arborlake.core import table
 from arborlake.operators import build as B
 from arborlake.operators import concepts as C
 from arborlake.operators import graph as G
+from arborlake.operators import reports as P
 from arborlake.operators import resolve as R
 from arborlake.operators import textstate as T
 from arborlake.plans.graph_queries import _V, _g, _with
@@ -85,3 +86,14 @@ SQL |= {
     "fenced_lines": f"WITH {_LS}, f AS (SELECT doc_id, i, CASE WHEN i % 7 = 3 THEN '```' ELSE line END AS line FROM l), g AS (SELECT doc_id, i, regexp_matches(line, '^\\s*(?:```|~~~)') AS fence FROM f), h AS (SELECT doc_id, fence, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS odd FROM g) SELECT doc_id, count(*) FILTER (fence) AS marks, count(*) FILTER (NOT fence AND odd) AS inside FROM h GROUP BY 1",
     "import_expansion": "SELECT * FROM (VALUES ('a', 1, 'b', 'ok'), ('a', 2, 'c', 'ok'), ('a', 3, 'a', 'cycle'), ('a', 4, 'c', 'ok'), ('b', 1, 'c', 'ok'), ('b', 2, 'a', 'ok'), ('b', 3, 'b', 'cycle'), ('b', 4, 'c', 'ok'), ('d', 1, 'nope', 'missing')) v(root, ord, path, state)",
 }
+
+QUERIES |= {
+    "project_facts": lambda s, d: P.project_facts(table(s, d, "discovered_files")),
+    "status_claims": lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.length(P.unquoted(F.col("text"))).alias("n"), P.claims_status(F.concat(F.lit("Status: "), F.col("doc_kind"), F.lit("\n"), F.col("text")), "concept").alias("claims")),
+}
+_LN = "CASE lower(regexp_extract(rel_path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.LANGUAGES.items()) + " END"
+SQL |= {
+    "project_facts": f"""SELECT repo, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, bool_or(regexp_matches(rel_path, '/tests?/')) AS has_tests, bool_or(base = 'Makefile') AS has_make,
+ bool_or(base IN ('main.go', 'cli.py', '__main__.py', 'main.rs') OR coalesce(regexp_matches(content, '\\[project\\.scripts\\]|"bin"\\s*:'), false)) AS is_cli
+FROM (SELECT DISTINCT rel_path, content, split_part(rel_path, '/', 1) AS repo, string_split(rel_path, '/')[-1] AS base, {_LN} AS lang FROM discovered_files) GROUP BY 1""",
+}

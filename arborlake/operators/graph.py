@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.core import lookup, scratch
+from arborlake.core import bucket, lookup, scratch
 
 #: Names too common to be hubs.
 NOISE_LABELS = (
@@ -266,7 +266,11 @@ def resolve_symbols(n: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, id, how) for queries (query): exact id, name or qualified name, else up to five that contain it, ignoring case."""
     exact = reduce(DataFrame.unionByName, (n.select("id", F.col(c).alias("query")) for c in ("id", "name", "qualified_name"))).join(queries, "query").select("query", "id").distinct().withColumn("how", F.lit("exact"))
     rest = queries.join(exact.select("query").distinct(), "query", "left_anti")
-    like = n.join(F.broadcast(rest.limit(1000)), F.expr("name ilike concat('%', query, '%') or qualified_name ilike concat('%', query, '%')")).select("query", "id").distinct()
+    # no key to meet on: the queries go to the nodes in blocks of bounded size, all nodes against each
+    rest = scratch(rest.distinct(), "queries")
+    blocks = max(1, -(-rest.count() // 1000))
+    found = F.expr("name ilike concat('%', query, '%') or qualified_name ilike concat('%', query, '%')")
+    like = reduce(DataFrame.unionByName, (n.join(F.broadcast(rest.where(bucket("query", blocks) == k)), found).select("query", "id") for k in range(blocks))).distinct()
     like = like.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("id"))).where("r <= 5").select("query", "id", F.lit("like").alias("how"))
     return exact.unionByName(like)
 

@@ -4,7 +4,9 @@ Texts become words: runs of letters and digits without case, compatibility forms
 unified, tags and marks between them skipped, words broken at a line end joined.
 The documents are searched for the n-grams of the items and those are counted;
 every window of an item as long as a leak must be gets its rarest n-gram as
-seed, so no leak can be without one. Seeds join documents to items; each pair is
+seed, so no leak can be without one. In an edited copy every window may cover a
+changed word and its rarest n-gram be in no document, or in another one only; so
+alignments are seeded by every n-gram that a document holds. Seeds join documents to items; each pair is
 aligned around its seeds by Smith-Waterman on words, which scores edited and
 paraphrased copies, and the longest unbroken run through a seed is measured.
 
@@ -71,6 +73,44 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, best // MATCH
 
 
+def smith_waterman_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The best local scores of many pairs of sequences of positive (first) and non-negative (second) numbers, those of like length at once."""
+    best = np.zeros(len(pairs), dtype=np.int64)
+    order = sorted((k for k, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    at = 0
+    while at < len(order):
+        end, wide = at + 1, len(pairs[order[at]][1])
+        while end < len(order) and end - at < 64 and len(pairs[order[end]][1]) <= wide + wide // 4 + 8:
+            end += 1
+        ks = order[at:end]
+        # padding equals nothing, so it can only lower a score
+        a = np.full((len(ks), max(len(pairs[k][0]) for k in ks)), -1, dtype=np.int32)
+        b = np.full((len(ks), len(pairs[ks[-1]][1])), -2, dtype=np.int32)
+        for r, k in enumerate(ks):
+            a[r, : len(pairs[k][0])], b[r, : len(pairs[k][1])] = pairs[k]
+        kind = np.int16 if MATCH * a.shape[1] + b.shape[1] < 32_000 else np.int32
+        ramp = np.arange(b.shape[1] + 1, dtype=kind) * kind(-GAP)
+        prev = np.zeros((len(ks), b.shape[1] + 1), dtype=kind)
+        most, cur = np.zeros_like(prev), np.zeros_like(prev)
+        for j in range(a.shape[1]):
+            step = (b == a[:, j : j + 1]).astype(kind)
+            step *= MATCH - MISMATCH
+            step += MISMATCH
+            step += prev[:, :-1]
+            prev += GAP
+            np.maximum(step, prev[:, 1:], out=cur[:, 1:])
+            cur[:, 0] = 0
+            np.maximum(cur, 0, out=cur)
+            cur += ramp
+            np.maximum.accumulate(cur, axis=1, out=cur)
+            cur -= ramp
+            np.maximum(most, cur, out=most)
+            prev, cur = cur, prev
+        best[ks] = most.max(axis=1)
+        at = end
+    return best
+
+
 def _member(g: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of g are among the sorted keys."""
     if not len(keys):
@@ -113,8 +153,10 @@ class _Block:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
 
-    def seeds(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """The rarest n-gram of every window of leak words, with its places in the items."""
+    def seeds(self, counts: dict[int, int], verbatim: bool = False) -> dict[int, list[tuple[int, int]]]:
+        """Every n-gram that a document holds, with its places in the items; verbatim: only the rarest of each window of leak words."""
+        if not verbatim:
+            return {g: p for g, p in self.places.items() if counts.get(g, 0) > 0}
         chosen: dict[int, set[tuple[int, int]]] = defaultdict(set)
         width = self.leak - self.n + 1
         for i, w in self.items.items():
@@ -151,8 +193,15 @@ def _align(docs: DataFrame, block: _Block, seeds: dict[int, list[tuple[int, int]
 
     def run(batches):
         b, seed, keys = shared.value
+
+        def scored(rows, pairs):
+            best = np.zeros(len(rows), dtype=np.int64)
+            np.maximum.at(best, [r for r, _, _ in pairs], smith_waterman_many([x[1:] for x in pairs]))
+            done = [(i, d, n, int(k), int(k) / (MATCH * len(b.items[i])), at) for (i, d, n, at), k in zip(rows, best, strict=True)]
+            return pd.DataFrame(done, columns=["item_id", "doc_id", "longest_run", "score", "share", "doc_word"])
+
+        rows, pairs, held = [], [], 0
         for pdf in batches:
-            rows = []
             for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 w = b.numbers(t)
                 g = b.grams(w)
@@ -163,7 +212,8 @@ def _align(docs: DataFrame, block: _Block, seeds: dict[int, list[tuple[int, int]
                         found[i][int(q) - p].append((int(q), p))
                 for i, diagonals in found.items():
                     item = b.items[i]
-                    run_, where, score, covered = 0, 0, 0, -1
+                    run_, where = 0, 0
+                    stretches: list[list[int]] = []
                     for shift, hits in sorted(diagonals.items()):
                         end = -1
                         for q, p in hits:
@@ -179,22 +229,32 @@ def _align(docs: DataFrame, block: _Block, seeds: dict[int, list[tuple[int, int]
                             if s + e > run_:
                                 run_, where = s + e, q - s
                         lo, hi = max(0, shift - len(item) // 2), min(len(w), shift + len(item) + len(item) // 2)
-                        if hits and lo > covered - len(item):
-                            score = max(score, smith_waterman(item, w[lo:hi])[0])
-                            covered = hi
+                        if end < 0:
+                            continue
+                        if stretches and lo <= stretches[-1][1]:
+                            stretches[-1][1] = hi
+                        else:
+                            stretches.append([lo, hi])
                     if run_:
-                        rows.append((i, d, run_, score, score / (MATCH * len(item)), where))
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "longest_run", "score", "share", "doc_word"])
+                        pairs += [(len(rows), item, w[lo:hi]) for lo, hi in stretches]
+                        rows.append((i, d, run_, where))
+                        held += sum(hi - lo for lo, hi in stretches)
+                if held > 1_000_000:  # words held
+                    yield scored(rows, pairs)
+                    rows, pairs, held = [], [], 0
+        if rows:
+            yield scored(rows, pairs)
 
     return docs.mapInPandas(run, schema)
 
 
-def leak_alignments(items: DataFrame, documents: DataFrame, leak_words: int = LEAK_WORDS, seed_words: int = SEED_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leak_alignments(items: DataFrame, documents: DataFrame, leak_words: int = LEAK_WORDS, seed_words: int = SEED_WORDS, block_items: int = BLOCK_ITEMS, verbatim: bool = False) -> DataFrame:
     """(item_id, doc_id, longest_run, score, share, doc_word) of every item and document that share a seed.
 
     longest_run: most consecutive words in common through a seed; score: of the best
     local alignment around the seeds; share: score over that of the whole item;
-    doc_word: word of the document where the longest run begins.
+    doc_word: word of the document where the longest run begins. verbatim: only pairs
+    with leak_words in a row are sure to be there, from far fewer seeds.
     """
     docs = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
     numbered = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -205,7 +265,7 @@ def leak_alignments(items: DataFrame, documents: DataFrame, leak_words: int = LE
         mine = [(r[0], r[1]) for r in numbered.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
         block = _Block(mine, seed_words, leak_words)
         counts = {r[0]: r[1] for r in _hits(docs, block).collect()}  # at most the block's own n-grams
-        part = _align(docs, block, block.seeds(counts))
+        part = _align(docs, block, block.seeds(counts, verbatim))
         if blocks > 1:
             part = scratch(part, "leaks")
         parts = part if parts is None else parts.unionByName(part)
@@ -214,4 +274,4 @@ def leak_alignments(items: DataFrame, documents: DataFrame, leak_words: int = LE
 
 def leaked(items: DataFrame, documents: DataFrame, **how) -> DataFrame:
     """(item_id, doc_id) where the document holds at least leak_words consecutive words of the item."""
-    return leak_alignments(items, documents, **how).where(F.col("longest_run") >= how.get("leak_words", LEAK_WORDS)).select("item_id", "doc_id")
+    return leak_alignments(items, documents, **how, verbatim=True).where(F.col("longest_run") >= how.get("leak_words", LEAK_WORDS)).select("item_id", "doc_id")

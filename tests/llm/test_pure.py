@@ -145,6 +145,12 @@ def test_smith_waterman_is_the_textbook_table(a, b):
     assert K.smith_waterman(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))[0] == max(map(max, h))
 
 
+def test_smith_waterman_of_many_is_that_of_each():
+    rng = random.Random(4)
+    pairs = [tuple(np.array([rng.randrange(1, 6) for _ in range(rng.randrange(0, 40))], dtype=np.int64) for _ in range(2)) for _ in range(300)]
+    assert K.smith_waterman_many(pairs).tolist() == [K.smith_waterman(a, b)[0] for a, b in pairs]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 50), st.sampled_from(["a", "b", None]), st.integers(0, 9)), min_size=1, max_size=60))
 def test_packing_is_whole_and_keeps_rules(items):

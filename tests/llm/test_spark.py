@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,25 @@ def test_leaks_equal_brute_force(spark):
     assert all(r.score >= 2 * 12 for r in best)
 
 
+def test_edited_copies_are_aligned(spark):
+    item = [f"i{k}" for k in range(64)]
+    edited = [f"x{k}" if k % 8 == 3 else w for k, w in enumerate(item)]
+    far = [f"z{k}" for k in range(50)]
+    docs = [(1, " ".join(far + edited + far), "s", "log"), (2, " ".join(item), "s", "log"), (3, " ".join(item[:6] + far + edited), "s", "log"), (4, " ".join(far), "s", "log")]
+    docs += [(5, " ".join(item[4:11]), "s", "log")]  # makes the n-grams of one stretch more frequent
+    it, df = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: (r.longest_run, r.score) for r in leaks.leak_alignments(it, df).collect()}
+    want = {d: leaks.smith_waterman(*leaks_numbers(item, t.split()))[0] for d, t, *_ in docs}
+    assert set(got) == {1, 2, 3, 5} and {d: s for d, (_, s) in got.items()} == {d: want[d] for d in got}
+    assert got[1][0] == 7 and got[2] == (64, 128)
+    assert {tuple(r) for r in leaks.leaked(it, df).collect()} == {(7, 2)}
+
+
+def leaks_numbers(a, b):
+    n = {w: k for k, w in enumerate(dict.fromkeys(a + b), 1)}
+    return np.array([n[w] for w in a]), np.array([n[w] for w in b])
+
+
 def test_sentences_by_chunks(spark):
     long = 'He said "One. Two." and left. Next one! ' * 400 + "\n\n" + "A (b. C.) d. E.\n\n" * 200
     docs = spark.createDataFrame([(1, "One. Two.", "s", "article"), (2, None, "s", "article"), (3, "", "s", "review"), (4, long, "s", "concept"), (5, "One. Two.", "s", "log"), (1, "One. Two.", "s", "article"), (6, "  \n\n ", "s", "review"), (7, "  Lead. X", None, "review")], DOCS)

@@ -105,36 +105,30 @@ def _issued(s: str, least: int = 16) -> bool:
     return not _PLACEHOLDER.match(s) and not _UUID.match(s) and not _DIGEST.match(s) and s.count("/") <= max(2, len(s) // 10) and random_looking(s, least)
 
 
-#: Texts with one of these are scanned from end to end; others only around strings that are not plain words.
-_SIGNS = ("-----BEGIN", "://", "curl", "earer ", "asic ", "eyJ", "AKIA", "ASIA", "xox", "sk_", "rk_", "glpat-", "AIza", "npm_", "hf_", "SG.", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
-_STRINGS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|(?i:pass|pwd)\w{0,30}\\?[\"'`]?\]?\s{0,3}[:=,]")
-_DULL = re.compile(r"[\"'`](?:[A-Za-z_ .(){}:,]*|[^A-Za-z0-9]*|[A-Za-z_. ]*\\\"[A-Za-z_. {]*\\\"\)?)[\"'`]$")
-_TAIL = re.compile(r"[\"'`][^\s\"'`]{16,}$")
-
-
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text that can hold a credential."""
-    if any(s in text for s in _SIGNS) or _TAIL.search(text[-200:]):
-        return [(0, len(text))]
-    out: list[tuple[int, int]] = []
-    for m in _STRINGS.finditer(text):
-        if not _DULL.match(m.group()):
-            s, e = m.span()
-            s, e = max(text.rfind("\n", 0, s) + 1, s - 160), min(len(text), e + 160)
-            if out and s <= out[-1][1]:
-                out[-1] = (out[-1][0], e)
-            else:
-                out.append((s, e))
-    return out
+#: What a match of _FIND cannot be without, in lower case: marks, issuers' prefixes, name words. Texts without any and without a long quoted token are not scanned.
+_ANCHORS = (
+    *("-----begin", "://", "curl", "basic", "bearer", "authorization", "authenticate", "login", "log_in", "signin", "sign_in", "key=", "auth=", "sig="),
+    *("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "akia", "asia", "_live_", "_prod_", "sk-", "aiza", "ya29.", "npm_", "hf_", "sg.", "eyj"),
+    *("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential"),
+    *(w + j + "key" for w in ("api", "access", "auth", "private", "signing", "encryption") for j in ("", "_", "-")),
+)
+_LONG = re.compile(r"[\"'`][A-Za-z0-9+/_=.-]{24,}\\?[\"'`]")
+
+
+def _may_hold(text: str) -> bool:
+    """False only where _FIND has no match; letters outside ASCII may fold to others, so such texts are scanned."""
+    if not text.isascii() or _LONG.search(text):
+        return True
+    low = text.lower()
+    return any(a in low for a in _ANCHORS)
 
 
 def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every live credential, in order and apart from each other."""
-    if not text:
+    if not text or not _may_hold(text):
         return []
     out, alone = [], []
-    for lo, hi in _windows(text):
-        _scan(text, lo, hi, out, alone)
+    _scan(text, 0, len(text), out, alone)
     alone = [a for a in alone if not any(o[0] < a[1] and a[0] < o[1] for o in out)]
     # many bare random strings are a table of data, not credentials
     if len(alone) <= 2:

@@ -99,6 +99,27 @@ def test_long_text_with_one_credential():
     assert len(C.find_credentials(text)) == 1
 
 
+TOKENS = ["9ut8vyUUxEtllWVFl+thGN1HuvCz0Z", "4q7XnODX8G7XKHIBvdz4xY8m19bg06Sci", "7W44hNq2HyYUPARfVr4cjzaItc5gFsC5G", "3L0pKq83jdHs7Bv2mXz91TfYcWn5RgEaU"]
+
+
+def test_scan_does_not_depend_on_text_around(monkeypatch):
+    calm = "x = 1\n" * 200
+    live = ['api_key = "QxzLBpuCcjdjYwRiQiTokUTqDfIAtd"', "# secret=9f3kLq82Zx7Vb4Tn", "# sk-" + TOKENS[1], "# pk_live_9f3kLq82Zx7Vb4Tn", "# ya29." + TOKENS[1], *LIVE]
+    for t in live:
+        assert C.find_credentials(calm + t + "\n" + calm), t
+    rng = random.Random(6)
+    texts = [*live, *(t for t in DEAD if t)]
+    for t in list(texts):
+        for _ in range(20):
+            k, n = rng.randrange(len(t)), rng.randrange(1, 6)
+            texts += [t[:k] + t[k + n :], t[:k], t[k:], t.upper()[:k] + t[k:]]
+    got = [C.find_credentials(t) for t in texts]
+    matched = [C._FIND.search(t) is not None for t in texts]
+    assert all(C._may_hold(t) for t, m in zip(texts, matched, strict=True) if m)
+    monkeypatch.setattr(C, "_may_hold", lambda t: True)
+    assert got == [C.find_credentials(t) for t in texts]
+
+
 def has(text, lang, name="foldSaddle"):
     f = D.spans(text, lang, name)
     if f is None:

@@ -123,16 +123,29 @@ def _may_hold(text: str) -> bool:
     return any(a in low for a in _ANCHORS)
 
 
+#: What lies between two elements of one list of strings.
+_BETWEEN = re.compile(r"\\?[\"'`](?:[\s,]|\\[nrt]|\\?[\"'`][^\"'`\\\n]*\\?[\"'`])*\\?[\"'`]")
+
+
+def _no_tables(text: str, alone: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The bare tokens without those that are three or more elements of one array literal: these are data."""
+    groups: list[list[tuple[int, int, str]]] = []
+    for a in alone:
+        if groups and _BETWEEN.fullmatch(text, groups[-1][-1][1], a[0]):
+            groups[-1].append(a)
+        else:
+            groups.append([a])
+    in_call = lambda g: text[: g[0][0]].rstrip("\\\"'` \n\t").endswith("(")
+    return [a for g in groups if len(g) < 3 or in_call(g) for a in g]
+
+
 def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every live credential, in order and apart from each other."""
     if not text or not _may_hold(text):
         return []
     out, alone = [], []
     _scan(text, 0, len(text), out, alone)
-    alone = [a for a in alone if not any(o[0] < a[1] and a[0] < o[1] for o in out)]
-    # many bare random strings are a table of data, not credentials
-    if len(alone) <= 2:
-        out += alone
+    out += [a for a in _no_tables(text, alone) if not any(o[0] < a[1] and a[0] < o[1] for o in out)]
     return sorted(out)
 
 

@@ -102,6 +102,15 @@ def test_long_text_with_one_credential():
 TOKENS = ["9ut8vyUUxEtllWVFl+thGN1HuvCz0Z", "4q7XnODX8G7XKHIBvdz4xY8m19bg06Sci", "7W44hNq2HyYUPARfVr4cjzaItc5gFsC5G", "3L0pKq83jdHs7Bv2mXz91TfYcWn5RgEaU"]
 
 
+def test_bare_tokens_count_wherever_they_are_no_table():
+    text = "".join(f'def f{k}(x):\n    return g{k}(x, "{t}")\n\n' for k, t in enumerate(TOKENS))
+    assert [text[s:e] for s, e, _ in C.find_credentials(text)] == TOKENS
+    assert not any(t in C.mask_credentials(text) for t in TOKENS)
+    table = "X = [\n" + "".join(f'    "{t}",\n' for t in TOKENS) + "]\n"
+    assert C.find_credentials(table) == []
+    assert [table[s - len(text) : e - len(text)] for s, e, _ in C.find_credentials(text + table)] != TOKENS and len(C.find_credentials(text + table)) == 4
+
+
 def test_scan_does_not_depend_on_text_around(monkeypatch):
     calm = "x = 1\n" * 200
     live = ['api_key = "QxzLBpuCcjdjYwRiQiTokUTqDfIAtd"', "# secret=9f3kLq82Zx7Vb4Tn", "# sk-" + TOKENS[1], "# pk_live_9f3kLq82Zx7Vb4Tn", "# ya29." + TOKENS[1], *LIVE]

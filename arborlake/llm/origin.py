@@ -8,6 +8,7 @@ of the canonical tokens, comments aside, is the same for every copy of a file
 whatever its layout or licence header, so a text that two repositories hold
 under the same extension is a copy of some project; so is one that lies in a
 dependency folder or whose opening comment grants another project's licence.
+Such files are hashed too: a copy without folder or header is found by them.
 
 Defined results: null, empty and comment-only content is hand-written unless
 its folder or licence says otherwise; extensions without a lexer are judged by
@@ -112,13 +113,12 @@ def layout(text: str, language: str) -> dict:
 def evidence(path: str, text: str | None) -> tuple:
     """(reason or None, canonical hash or None) from the file alone."""
     repo = path.split("/", 1)[0]
-    if _FOLDERS.search(path):
-        return "vendored folder", None
+    folder = "vendored folder" if _FOLDERS.search(path) else None
     if not text:
-        return None, None
+        return folder, None
     lang = language_of(path)
     if lang is None:
-        return None, hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if len(text) >= 200 else None
+        return folder, hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if len(text) >= 200 else None
     tokens, classes = lex(text, lang)
     opening = []
     for t, c in zip(tokens, classes, strict=True):
@@ -128,9 +128,12 @@ def evidence(path: str, text: str | None) -> tuple:
             break
     head = _comment_text("\n".join(opening))
     m = _BANNER.search(head)
-    if m and m.group(1).lower() not in repo.lower() and _GRANT.search(head):
-        return "licence of another project", None
     f = layout(text, lang)
+    copied = f["canonical"] if f["tokens"] >= LEAST_TOKENS else None
+    if folder:
+        return folder, copied
+    if m and m.group(1).lower() not in repo.lower() and _GRANT.search(head):
+        return "licence of another project", copied
     if f["literal"] >= LITERAL and f["literal_chars"] >= LEAST_LITERAL:
         return "data", f["canonical"]
     if f["expansion"] >= EXPANSION:
@@ -139,7 +142,7 @@ def evidence(path: str, text: str | None) -> tuple:
         return "generated", f["canonical"]
     if any(_HEADER.search(x) for x in head.split("\n")) and f["uniform"] >= 0.4:
         return "generated header", f["canonical"]
-    return None, f["canonical"] if f["tokens"] >= LEAST_TOKENS else None
+    return None, copied
 
 
 def classify_origin(files: DataFrame, path: str = "rel_path", text: str = "content") -> DataFrame:

@@ -58,7 +58,7 @@ _FIND = re.compile(
 )
 
 _PLACEHOLDER = re.compile(
-    r"(?i)^(?:(.)\1*|.*(?:your|replace|change|example|placeholder|dummy|insert|redact|todo|fixme|not[_-]?set|fill[_-]?in|here).*|<.*>|.*\$\{.*|.*\{\{.*|\{.*\}|%\w|\$\w+|%\w+%|\[.*\]|"
+    r"(?i)^(?:(.)\1*|.*(?<![a-z0-9])(?:your(?:s|api|access|auth|secret|password|passwd|token|key|name|here)*|replace(?:d|me|this)?|change(?:d|me|it|this)?|example|placeholder|dummy|insert|redact(?:ed)?|todo|fixme|not[_-]?set|fill[_-]?in|here)\d*(?![a-z0-9]).*|<.*>|.*\$\{.*|.*\{\{.*|\{.*\}|%\w|\$\w+|%\w+%|\[.*\]|"
     r"(?:pass(?:word|wd|phrase)?|secret|token|key|none|null|nil|true|false|undefined|test|user|admin|n/?a|string|xxx+)[:.!?]*)$"
 )
 _LABEL = re.compile(r"(?i)^_?(?:s)?_?(?:label|name|names|hint|prompt|field|title|help|text|message|msg|path|file|dir|url|uri|type|kind|id|ref|header|param|policy|regex|pattern|length|len|count|env|var|column|placeholder|error|ttl|age|expiry)$")
@@ -96,13 +96,23 @@ def random_looking(s: str, least: int = 16) -> bool:
     return entropy(s) >= (HEX_SHARE if letters == 16 else ENTROPY_SHARE) * math.log2(min(len(s), letters))
 
 
-def _chosen(s: str) -> bool:
-    """May be a password or passphrase that somebody chose."""
-    return len(s) >= 6 and not _PLACEHOLDER.match(s) and " " not in s and not re.fullmatch(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+", s) and not (s.count("/") > 1)
+_PHRASE = re.compile(r"(?!(?i:enter|type|please|invalid|wrong|missing|confirm|repeat|the|no)\b)[^\s.!?:;,]+(?: [^\s.!?:;,]+)+$")
+
+
+def _placeholder(s: str) -> bool:
+    """Filled in later; the words in camel case stand apart as well."""
+    return bool(_PLACEHOLDER.match(s) or _PLACEHOLDER.match(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", s)))
+
+
+def _chosen(s: str, name: str = "") -> bool:
+    """May be a password or, of several words where the name says so, a passphrase that somebody chose."""
+    if " " in s and not ("passphrase" in name.lower() and _PHRASE.match(s) and re.search(r"[^\W_]", s)):
+        return False
+    return len(s) >= 6 and not _placeholder(s) and not re.fullmatch(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+", s) and not (s.count("/") > 1)
 
 
 def _issued(s: str, least: int = 16) -> bool:
-    return not _PLACEHOLDER.match(s) and not _UUID.match(s) and not _DIGEST.match(s) and s.count("/") <= max(2, len(s) // 10) and random_looking(s, least)
+    return not _placeholder(s) and not _UUID.match(s) and not _DIGEST.match(s) and s.count("/") <= max(2, len(s) // 10) and random_looking(s, least)
 
 
 #: What a match of _FIND cannot be without, in lower case: marks, issuers' prefixes, name words. Texts without any and without a long quoted token are not scanned.
@@ -160,7 +170,7 @@ def _scan(text: str, at: int, end: int, out: list, alone: list) -> None:
         if kind == "pem":
             ok = True
         elif kind in ("url", "curl"):
-            ok = not _PLACEHOLDER.match(v) and not v.startswith("$") and len(v) >= 4
+            ok = not _placeholder(v) and not v.startswith("$") and len(v) >= 4
         elif kind == "basic":
             try:
                 ok = b":" in base64.b64decode(v + "=" * (-len(v) % 4))
@@ -176,14 +186,14 @@ def _scan(text: str, at: int, end: int, out: list, alone: list) -> None:
             if d["tail"] and _LABEL.match(d["tail"]):
                 ok = False
             elif d["chosen_name"] or re.search(f"(?i){_CHOSEN}", d["tail"] or ""):
-                ok = _chosen(whole)
+                ok = _chosen(whole, (d["chosen_name"] or "") + (d["tail"] or ""))
             else:
                 ok = _issued(whole)
             if not ok:
                 at = max(m.start("v1"), m.start() + 1)
         elif kind == "arg":
             inner = re.sub(r"^(?i:basic|bearer|token)\s+", "", v)
-            ok = _chosen(inner) if d["chosen_arg"] else _issued(inner)
+            ok = _chosen(inner, d["chosen_arg"]) if d["chosen_arg"] else _issued(inner)
             if not ok:
                 at = max(s - 1, m.start() + 1)
         elif kind == "login":

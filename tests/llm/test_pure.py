@@ -111,6 +111,16 @@ def test_bare_tokens_count_wherever_they_are_no_table():
     assert [table[s - len(text) : e - len(text)] for s, e, _ in C.find_credentials(text + table)] != TOKENS and len(C.find_credentials(text + table)) == 4
 
 
+@pytest.mark.parametrize("text", ['vault_passphrase = "carrier loose resolve frame"', '{"passphrase": "carrier loose resolve frame"}', 'f("passphrase", "carrier loose resolve frame")', 'password = "Sph3re-Where42"', 'pwd = "Exch4nger*77"'])
+def test_passphrases_and_words_inside_words(text):
+    assert C.find_credentials(text) and not C.find_credentials(C.mask_credentials(text))
+
+
+@pytest.mark.parametrize("text", ['passphrase = "Enter the vault words"', 'passphrase = "It failed. Try again"', 'password = "carrier loose resolve frame"', 'password = "changeme"', 'password = "YourPassword"', 'password = "put-it-here"', 'api_key = "YOURAPIKEYHERE12345"'])
+def test_prompts_and_placeholders(text):
+    assert C.find_credentials(text) == []
+
+
 def test_scan_does_not_depend_on_text_around(monkeypatch):
     calm = "x = 1\n" * 200
     live = ['api_key = "QxzLBpuCcjdjYwRiQiTokUTqDfIAtd"', "# secret=9f3kLq82Zx7Vb4Tn", "# sk-" + TOKENS[1], "# pk_live_9f3kLq82Zx7Vb4Tn", "# ya29." + TOKENS[1], *LIVE]

@@ -89,13 +89,13 @@ def definitions(payloads: DataFrame, with_line: bool = False) -> DataFrame:
     return x.select("file_path", "ord", F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), F.col("x.s").alias("start"), (-F.col("x.neg")).alias("end"), F.array_max(around).alias("parent_ord"), *([F.col("x.line").alias("line")] if with_line else []))
 
 
-def innermost_calls(payloads: DataFrame) -> DataFrame:
-    """(file_path, pos, callee, receiver, caller): the callable definition with greatest start around the call, or null for the file."""
+def innermost_calls(payloads: DataFrame, with_start: bool = False) -> DataFrame:
+    """(file_path, pos, callee, receiver, caller[, caller_start]): the callable definition with greatest start around the call, or null for the file."""
     callables = F.filter("p.definitions", lambda x: x["kind"].isin("function", "method"))
     x = payloads.select("file_path", callables.alias("ds"), F.explode("p.calls").alias("c"))
     hit = F.filter("ds", lambda y: (y["start_byte"] <= F.col("c.node_start_byte")) & (F.col("c.node_start_byte") < y["end_byte"]))
     best = F.array_max(F.transform(hit, lambda y: F.struct(y["start_byte"].alias("s"), y["local_name"].alias("name"))))
-    return x.select("file_path", F.col("c.node_start_byte").alias("pos"), F.col("c.name").alias("callee"), F.col("c.receiver").alias("receiver"), best["name"].alias("caller"))
+    return x.select("file_path", F.col("c.node_start_byte").alias("pos"), F.col("c.name").alias("callee"), F.col("c.receiver").alias("receiver"), best["name"].alias("caller"), *([best["s"].alias("caller_start")] if with_start else []))
 
 
 _SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -197,9 +197,9 @@ def payload_calls(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_class = F.coalesce(F.col("pk") == "class", F.lit(False))
     qualified = F.when(in_class, F.concat_ws(".", "pn", "name")).otherwise(F.col("name"))
     defs = x.select(F.concat(F.lit("def:"), "file_path", F.lit("::"), qualified, F.lit("@"), F.col("start").cast("string")).alias("id"), "file_path", "name", qualified.alias("qualified_name"), F.when(in_class, F.concat_ws("::", "file_path", "pn")).alias("class_id"), F.col("start").alias("seq"))
-    c = innermost_calls(payloads)
-    m = defs.where("class_id is not null").groupBy("file_path", F.col("name").alias("caller")).agg(F.min("class_id").alias("class_id"))
-    calls = c.join(m, ["file_path", "caller"], "left").select(F.concat_ws("@", "file_path", F.col("pos").cast("string"), "callee").alias("call_id"), "file_path", "class_id", F.col("callee").alias("name"), "receiver").distinct()
+    c = innermost_calls(payloads, with_start=True)
+    m = defs.where("class_id is not null").groupBy("file_path", F.col("name").alias("caller"), F.col("seq").alias("caller_start")).agg(F.min("class_id").alias("class_id"))
+    calls = c.join(m, ["file_path", "caller", "caller_start"], "left").select(F.concat_ws("@", "file_path", F.col("pos").cast("string"), "callee").alias("call_id"), "file_path", "class_id", F.col("callee").alias("name"), "receiver").distinct()
     return calls, defs
 
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -167,3 +168,15 @@ def test_empty_graph(spark):
     c = spark.createDataFrame([], COMM)
     for df in (G.hub_nodes(n, e), G.surprise(n, e), G.community_hubs(n, e), G.topological_levels(n, e), G.import_cycles(e), G.incident_summary(n, e), G.detect_communities(n, e), G.review_questions(n, e, c), G.super_hubs(e), G.god_flags(e)):
         assert df.count() == 0
+
+
+def test_self_calls_of_two_classes_with_the_same_method(spark):
+    d = lambda kind, name, s, e: {"kind": kind, "local_name": name, "start_line": s, "end_line": e, "start_byte": s, "end_byte": e}
+    call = lambda at: {"name": "close", "receiver": "self", "node_start_byte": at, "start_line": at}
+    defs = [d("class", "A", 0, 100), d("function", "run", 10, 40), d("function", "close", 50, 90), d("class", "B", 200, 300), d("function", "run", 210, 240), d("function", "close", 250, 290)]
+    p = json.dumps({"definitions": defs, "imports": [], "calls": [call(20), call(220)], "inheritances": [], "parse_had_errors": False})
+    cache = spark.createDataFrame([("r/a.py", "x", "python", p, "2024-01-01")], "file_path string, sha256 string, language string, payload_json string, updated_at string")
+    calls, found = R.payload_calls(R.newest_payloads(cache))
+    none = spark.createDataFrame([], "file_path string, target_file string, names array<string>, ord int")
+    got = {r.call_id: (r.target, r.tier) for r in R.resolve_calls(calls, found, none).collect()}
+    assert got == {"r/a.py@20@close": ("def:r/a.py::A.close@50", 1), "r/a.py@220@close": ("def:r/a.py::B.close@250", 1)}

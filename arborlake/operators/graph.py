@@ -8,6 +8,7 @@ absent confidence column is supplied. Empty tables give empty results.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -196,12 +197,14 @@ def reattach_hubs(n: DataFrame, e: DataFrame, hubs: DataFrame) -> DataFrame:
     return votes.groupBy("id").agg(F.min(F.struct((-F.col("v")).alias("neg"), "c")).alias("b")).select("id", F.col("b.c").alias("community_id"))
 
 
-def detect_communities(n: DataFrame, e: DataFrame, rounds: int = 8) -> DataFrame:
+def detect_communities(n: DataFrame, e: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, community): deterministic weighted label propagation over calls (3) and inherits (10).
 
     Labels start as the node's id; each round a node takes the label with most
     weight among its neighbours and itself, the smallest label on ties; super-hubs
-    take part only at the end, by majority. A round is two shuffles on the node
+    take part only at the end, by majority of their neighbours' labels. Rounds end when
+    two in a row, in which every node had its turn, change no label; a warning says
+    if the bound was hit before. A round is two shuffles on the node
     id with map-side sums; its written table is the next round's input.
     Nodes without edges keep their own community.
     """
@@ -211,13 +214,22 @@ def detect_communities(n: DataFrame, e: DataFrame, rounds: int = 8) -> DataFrame
     both = scratch(both.join(hubs.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(hubs.withColumnRenamed("id", "target_id"), "target_id", "left_anti"), "weights")
     ids = n.where(F.col("kind").isin(*CLUSTERABLE)).select("id").distinct()
     labels = scratch(ids.withColumn("label", F.col("id")), "labels")
+    calm = 0
     for k in range(rounds):
         # the half of the nodes that moves alternates, so that two nodes cannot swap for ever
         mine = F.pmod(F.xxhash64("id", F.lit(k // 2)), F.lit(2)) == k % 2
         votes = both.join(labels.select(F.col("id").alias("target_id"), "label"), "target_id").groupBy(F.col("source_id").alias("id"), "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("neg"), "label")).alias("b")).select("id", F.col("b.label").alias("next"))
-        labels = scratch(labels.join(best, "id", "left").select("id", F.when(mine, F.coalesce("next", "label")).otherwise(F.col("label")).alias("label")), "labels")
-    return labels.withColumnRenamed("label", "community")
+        moved = scratch(labels.join(best, "id", "left").select("id", F.when(mine, F.coalesce("next", "label")).otherwise(F.col("label")).alias("label"), (mine & (F.col("next") != F.col("label"))).alias("moved")), "labels")
+        labels = moved.select("id", "label")
+        calm = 0 if moved.where("moved").limit(1).count() else calm + 1 if k % 2 == 0 or calm else 0
+        if calm == 2:
+            break
+    else:
+        warnings.warn(f"detect_communities: labels still changed after {rounds} rounds", stacklevel=2)
+    free = labels.join(hubs, "id", "left_anti").withColumnRenamed("label", "community_id")
+    attached = reattach_hubs(n.drop("community_id").join(free, "id", "left"), e, hubs.withColumnRenamed("id", "node_id")).withColumnRenamed("community_id", "joined")
+    return labels.join(attached, "id", "left").select("id", F.coalesce("joined", "label").alias("community"))
 
 
 # --- traversal -------------------------------------------------------------

@@ -84,6 +84,15 @@ def test_communities(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_super_hub_joins_its_neighbours_and_labels_settle(spark):
+    ring = [f"a{k:02d}" for k in range(60)]
+    n = G.node_view(nodes(spark, [(x, "method", "f.py", None) for x in [*ring, "hub"]]))
+    e = edges(spark, [(x, "a00", "inherits", 1, None) for x in ring[1:30]] + [(x, "hub", "calls", 1, None) for x in ring] + [(f"p{k}", f"p{k + 1}", "calls", 1, None) for k in range(120)])
+    assert [r.node_id for r in G.super_hubs(e).collect()] == ["hub"]
+    got = {r.id: r.community for r in G.detect_communities(n, e).collect()}
+    assert got["hub"] == got["a00"] == got["a29"]
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(4)
     rows = [(f"n{rng.randrange(150):03d}", f"n{rng.randrange(150):03d}") for _ in range(110)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(80)] + [("h", f"s{i:03d}") for i in range(60)] + [("own", "own"), (None, "x")]

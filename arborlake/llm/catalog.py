@@ -24,5 +24,13 @@ QUERIES = {
     "p10_found": lambda s, d: sentences.prose_sentences(table(s, d, "documents")),
 }
 
-#: None of these can be said in SQL as it stands; tests/llm checks them against brute force.
-SQL: dict[str, str] = {}
+#: What SQL can say; the others are tested against brute force, round trips or fixtures in tests/llm.
+SQL: dict[str, str] = {
+    "p5_found": """
+        WITH s AS (SELECT row_number() OVER () AS r, id, regexp_extract_all(lower(snippet), '[a-z0-9_]+') AS t
+                   FROM (SELECT DISTINCT id, snippet FROM nodes WHERE kind IN ('function', 'method') AND id IS NOT NULL AND snippet IS NOT NULL)),
+        g AS (SELECT DISTINCT r, id, t[k] || ' ' || t[k + 1] || ' ' || t[k + 2] AS run FROM (SELECT r, id, t, unnest(range(1, len(t) - 1)) AS k FROM s)),
+        n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+        b AS (SELECT x.r AS rx, y.r AS ry, any_value(x.id) AS ix, any_value(y.id) AS iy, count(*) AS both_have FROM g x JOIN g y ON x.run = y.run AND x.id < y.id GROUP BY x.r, y.r)
+        SELECT DISTINCT ix AS id_a, iy AS id_b FROM b JOIN n p ON p.r = rx JOIN n q ON q.r = ry WHERE 10 * both_have >= 6 * (p.n + q.n - both_have)""",
+}

@@ -213,9 +213,9 @@ def test_packing_wastes_little_with_a_hot_source():
     assert sum(sizes) / (len(set(bins)) * P.CAPACITY) > 0.98
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(4, 60), st.integers(0, 30), st.integers(0, 2**32 - 1))
-def test_similar_sets_share_enough_weight(n, edits, seed):
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 90), st.integers(0, 40), st.integers(0, 2**32 - 1), st.sampled_from([0, 1]))
+def test_similar_sets_share_enough_signatures(n, edits, seed, scheme):
     rng = np.random.default_rng(seed)
     a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
     b = a.copy()
@@ -225,12 +225,40 @@ def test_similar_sets_share_enough_weight(n, edits, seed):
         else:
             b = np.unique(np.append(b, rng.integers(0, 2**63, 1, dtype=np.uint64)))
     counts = rng.integers(0, 50, N.COUNTERS)
+    sizes = {int(k): int(rng.integers(1, 9)) for k in {len(a), len(b), *rng.integers(1, 200, 5)}}
     both = len(np.intersect1d(a, b))
     if both / (len(a) + len(b) - both) >= 0.6:
-        for crowded in (10.0, 1e9):
-            shared = np.intersect1d(N.signatures(a, counts, crowded), N.signatures(b, counts, crowded))
-            least = min(N.SUBSET, -(-min(len(a), len(b)) * 6 // 10))
-            assert np.where(shared & np.uint64(1) == 1, N.SUBSET, 1).sum() >= least
+        sig, owner = N.signature_rows(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), counts, N.plan_bands(sizes), seed=scheme)
+        shared = np.intersect1d(sig[owner == 0], sig[owner == 1])
+        assert len(shared) >= min(N.SHARED, -(-min(len(a), len(b)) * 6 // 10))
+
+
+def test_signatures_of_a_set_do_not_grow_with_the_counters():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in rng.integers(20, 120, 300)]
+    f, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    bands = N.plan_bands({k: 5 for k in range(20, 120)})
+    counts = rng.integers(0, 50, N.COUNTERS)
+    n = [len(N.signature_rows(f, at, counts * x, bands)[0]) / len(sets) for x in (1, 10, 100)]
+    assert n[0] == n[1] == n[2] < 90
+
+
+def test_meeting_in_batches_equals_all_pairs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sig, h = rng.integers(0, 40, 900), (rng.integers(0, 60, 900) << N.SIZE_BITS) | 50
+    sig[:300] = 7
+    order = np.lexsort((h, sig))
+    sig, h = sig[order], h[order]
+    for wide, crowded in ((1000, 100), (7, 100), (13, 5), (1, 20)):
+        got, rest = set(), {}
+        for b in N.meet((pa.record_batch([pa.array(sig[k : k + wide]), pa.array(h[k : k + wide])], names=["sig", "h"]) for k in range(0, 900, wide)), crowded):
+            for s, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                got.add((x, y)) if y is not None else rest.setdefault(s, set()).add(x)
+        groups = {s: set(h[sig == s].tolist()) for s in set(sig.tolist())}
+        assert rest == {s: g for s, g in groups.items() if len(g) > crowded}
+        assert got == {(x, y) for g in groups.values() if len(g) <= crowded for x in g for y in g if x < y}
 
 
 SENTENCES = [

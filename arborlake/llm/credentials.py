@@ -6,8 +6,10 @@ connection string they lie in); strings joined by + count as one. A token whose
 Shannon entropy, measured in the alphabet it is written in, is above a threshold
 adjusted to its length is a candidate. Digests, ids, identifiers, placeholders,
 variables, public keys and encoded images are excluded. Passwords, which people
-choose and which have little entropy, need a place that says so. A mask keeps
-the length and the quotes, so the text around it stays well-formed.
+choose and which have little entropy, need a place that says so. A mask covers
+the inside of literals only, each escape as a whole, and keeps the length, so
+the text around it stays well-formed: quotes, prefixes, operators and line ends
+are never touched.
 
 Defined results: null and empty texts hold nothing; repeated rows count once;
 texts are read whole; a literal cut off at the end of a text counts if what is
@@ -43,14 +45,14 @@ _FIND = re.compile(
     "|".join(
         [
             rf"(?P<pem>{_PEM})",
-            r"://[^\s:/@\"'`]{1,80}:(?P<url>[^\s/@\"'`]{1,200})@",
-            r"\bcurl\b[^\"'`\n]{0,80}?\s(?:-u|--user)\s+[^\s:\"'`]{1,80}:(?P<curl>[^\s\"'`\\]+)",
+            r"://[^\s:/@\"'`]+:(?P<url>[^\s/@\"'`]+)@",
+            r"(?:-u|--user)\s+[^\s:\"'`]+:(?P<curl>[^\s\"'`\\]+)",
             r"\b[Bb]asic\s+(?P<basic>[A-Za-z0-9+/]{8,}={0,2})",
             rf"(?P<issuer>{_ISSUER})",
             r"\b[Bb]earer\s+(?P<bearer>[A-Za-z0-9._~+/-]{16,}=*)",
-            rf"(?i:(?:(?P<chosen_name>{_CHOSEN})|(?:{_ISSUED}))(?P<tail>[\w$]*)){_Q}?\]?\s*(?::\s*[\w&<>\[\]?* ]{{1,30}}?)?\s*(?::=|=>|=(?!=)|:)\s*(?P<joined>{_STR % 'v1'}(?:\s*(?:\+|\.\.|&)\s*{_STR % 'v2'}){{0,6}})",
+            rf"(?i:(?:(?P<chosen_name>{_CHOSEN})|(?:{_ISSUED}))(?P<tail>[\w$]*)){_Q}?\]?\s*(?::\s*[\w&<>\[\]?* ]+?)?\s*(?::=|=>|=(?!=)|:)\s*(?P<joined>{_STR % 'v1'}(?:\s*(?:\+|\.\.|&)\s*{_STR % 'v2'})*)",
             rf"{_Q}(?i:[\w-]*?(?:(?P<chosen_arg>{_CHOSEN})|(?:{_ISSUED})|authorization)[\w-]*){_Q}\s*[,:]\s*{_STR % 'arg'}",
-            rf"(?i:(?:log_?in|sign_?in|authenticate)\w*)\(\s*{_Q}[^\"'`\\]{{0,80}}{_Q}\s*,\s*{_STR % 'login'}",
+            rf"(?i:(?:log_?in|sign_?in|authenticate)\w*)\(\s*{_Q}[^\"'`\\\n]*{_Q}\s*,\s*{_STR % 'login'}",
             rf"(?i:(?<![\w$])(?:(?P<chosen_key>{_CHOSEN})|{_ISSUED}|key|auth|sig))=(?P<pair>[^\s&;,\"'`\\]{{6,}})",
             rf"{_Q}(?P<alone>[A-Za-z0-9+/_=.-]{{24,}}){_Q}",
         ]
@@ -66,7 +68,10 @@ _UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)$")
 _DIGEST = re.compile(r"(?i)^(?:sha\d+|md5|blake2[bs]?|crc32)[-:=]|^data:|^urn:")
 _WORDS = re.compile(r"^[A-Za-z]+(?:[._/ -][A-Za-z]+)*$")
-_IDENT = re.compile(r"^[A-Za-z_$][a-z0-9]*(?:[A-Z_.-][a-z0-9]*)*$")
+_PIECE = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])")
+_CLUSTER = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{4}")
+#: Share of letters and digits inside pronounceable words from which a token is a name.
+NAME_SHARE = 0.6
 #: Share of the highest entropy possible for its length and alphabet that a random token reaches; few letters spread less evenly.
 ENTROPY_SHARE, HEX_SHARE = 0.78, 0.66
 
@@ -115,21 +120,34 @@ def _issued(s: str, least: int = 16) -> bool:
     return not _placeholder(s) and not _UUID.match(s) and not _DIGEST.match(s) and s.count("/") <= max(2, len(s) // 10) and random_looking(s, least)
 
 
-#: What a match of _FIND cannot be without, in lower case: marks, issuers' prefixes, name words. Texts without any and without a long quoted token are not scanned.
+def _name(s: str) -> bool:
+    """Mostly words in a row, as identifiers, paths and keys of settings are."""
+    words = (w for w in _PIECE.findall(s) if len(w) > 2 and re.search(r"(?i)[aeiouy]", w) and not _CLUSTER.search(w))
+    return sum(map(len, words)) >= NAME_SHARE * max(1, sum(map(str.isalnum, s)))
+
+
+#: What a match of _FIND cannot be without, in lower case: marks, issuers' prefixes, name words. Texts without any and without a long token are not scanned.
 _ANCHORS = (
-    *("-----begin", "://", "curl", "basic", "bearer", "authorization", "authenticate", "login", "log_in", "signin", "sign_in", "key=", "auth=", "sig="),
+    *("-----begin", "://", " -u", "\t-u", "\n-u", "--user", "basic", "bearer", "authorization", "authenticate", "login", "log_in", "signin", "sign_in", "key=", "auth=", "sig="),
     *("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "akia", "asia", "_live_", "_prod_", "sk-", "aiza", "ya29.", "npm_", "hf_", "sg.", "eyj"),
     *("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential"),
     *(w + j + "key" for w in ("api", "access", "auth", "private", "signing", "encryption") for j in ("", "_", "-")),
 )
 _LONG = re.compile(r"[\"'`][A-Za-z0-9+/_=.-]{24,}\\?[\"'`]")
+#: Long tokens without quotes, and what is assigned without quotes on a line of its own (settings, shell, comments).
+_BARE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+_NO_BARE_BEFORE, _NO_BARE_AFTER = frozenset(".=$@%:\\\"'`"), frozenset(".=([$\"'`")
+_PLAIN = re.compile(
+    rf"(?i:(?P<chosen>{_CHOSEN})|(?:{_ISSUED}))(?P<tail>[\w.-]*)[ \t]*[:=][ \t]*(?P<plain>[^\s\"'`;,()\[\]{{}}<>|&\\]{{6,}})(?=[ \t]*(?:[;,\r\n]|$))"
+)
+#: Names with a digit inside that are no passwords.
+_DIGIT_NAME = re.compile(r"(?i)sha\d|md5|utf\d|base\d\d|int\d|x\d\d|oauth\d|bcrypt|argon\d|scrypt|pbkdf\d|hs\d{3}|rs\d{3}|es\d{3}|v\d|i18n|k8s|h2|s3|p12|pkcs\d|x509|ed25519|secp\d")
 
 
-def _may_hold(text: str) -> bool:
+def _may_hold(text: str, low: str) -> bool:
     """False only where _FIND has no match; letters outside ASCII may fold to others, so such texts are scanned."""
     if not text.isascii() or _LONG.search(text):
         return True
-    low = text.lower()
     return any(a in low for a in _ANCHORS)
 
 
@@ -149,14 +167,47 @@ def _no_tables(text: str, alone: list[tuple[int, int, str]]) -> list[tuple[int,
     return [a for g in groups if len(g) < 3 or in_call(g) for a in g]
 
 
+def _spans(text: str | None) -> list[tuple[int, int, str, tuple[tuple[int, int], ...]]]:
+    """(start, end, kind, insides of the literals) of every live credential, in order and apart from each other."""
+    if not text:
+        return []
+    out: list = []
+    alone: list = []
+    low = text.lower()
+    if _may_hold(text, low):
+        _scan(text, 0, len(text), out, alone)
+    _unquoted(text, low, alone)
+    alone.sort()
+    out += [(*a, ((a[0], a[1]),)) for a in _no_tables(text, [a for a in alone if a[2] == "token"]) + [a for a in alone if a[2] != "token"] if not any(o[0] < a[1] and a[0] < o[1] for o in out)]
+    out.sort()
+    return [x for k, x in enumerate(out) if k == 0 or x[0] >= out[k - 1][1]]
+
+
 def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every live credential, in order and apart from each other."""
-    if not text or not _may_hold(text):
-        return []
-    out, alone = [], []
-    _scan(text, 0, len(text), out, alone)
-    out += [a for a in _no_tables(text, alone) if not any(o[0] < a[1] and a[0] < o[1] for o in out)]
-    return sorted(out)
+    return [x[:3] for x in _spans(text)]
+
+
+def _unquoted(text: str, low: str, alone: list) -> None:
+    """Tokens and assigned values that stand without quotes."""
+    for m in _BARE.finditer(text):
+        v = m.group()
+        if text[m.start() - 1 : m.start()] in _NO_BARE_BEFORE or text[m.end() : m.end() + 1] in _NO_BARE_AFTER or not re.search(r"\d", v):
+            continue
+        if _issued(v, 24) and not _HEX.match(v) and not v.startswith(("0x", "0X")) and not _name(v) and "base64" not in text[max(0, m.start() - 24) : m.start()]:
+            alone.append((m.start(), m.end(), "bare"))
+    if not any(w in low for w in ("pass", "pwd", "secret", "token", "key", "credential", "bearer")):
+        return
+    for m in _PLAIN.finditer(text):
+        v = m["plain"]
+        if m["tail"] and _LABEL.match(m["tail"].replace("-", "_")) or re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+", v):
+            continue
+        if m["chosen"]:
+            ok = _chosen(v) and re.search(r"[A-Za-z]", v) and re.search(r"\d+[^\W\d_]|\d.*[!@#%^*?~+-]|[!@#%^*?~+].*\d", v) and not _DIGIT_NAME.search(v) and not re.fullmatch(r"[A-Za-z$]\w*_\w*", v)
+        else:
+            ok = _issued(v) and not _name(v)
+        if ok:
+            alone.append((*m.span("plain"), "plain"))
 
 
 def _scan(text: str, at: int, end: int, out: list, alone: list) -> None:
@@ -166,11 +217,14 @@ def _scan(text: str, at: int, end: int, out: list, alone: list) -> None:
         kind = next(k for k in ("pem", "url", "curl", "basic", "issuer", "bearer", "joined", "arg", "login", "pair", "alone") if d[k] is not None)
         s, e = m.span(kind)
         v = d[kind]
-        ok = False
+        ok, insides = False, ((s, e),)
         if kind == "pem":
             ok = True
         elif kind in ("url", "curl"):
             ok = not _placeholder(v) and not v.startswith("$") and len(v) >= 4
+            if kind == "curl":
+                ok = ok and text[m.start() - 1 : m.start()].isspace() and "curl" in text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+                at = at if ok else m.start() + 1
         elif kind == "basic":
             try:
                 ok = b":" in base64.b64decode(v + "=" * (-len(v) % 4))
@@ -181,9 +235,11 @@ def _scan(text: str, at: int, end: int, out: list, alone: list) -> None:
         elif kind == "bearer":
             ok = _issued(v)
         elif kind == "joined":
-            parts = re.findall(_STR % "p", v)
-            whole = "".join(parts)
-            if d["tail"] and _LABEL.match(d["tail"]):
+            parts = list(_PART.finditer(v))
+            whole = "".join(x["p"] for x in parts)
+            insides = tuple((s + x.start("p"), s + x.end("p")) for x in parts)
+            s, e = insides[0][0], insides[-1][1]
+            if d["tail"] and _LABEL.match(d["tail"]) or any("{" in x["p"] and re.match(r"\w*f|\$", x.group(), re.I) for x in parts):
                 ok = False
             elif d["chosen_name"] or re.search(f"(?i){_CHOSEN}", d["tail"] or ""):
                 ok = _chosen(whole, (d["chosen_name"] or "") + (d["tail"] or ""))
@@ -201,23 +257,30 @@ def _scan(text: str, at: int, end: int, out: list, alone: list) -> None:
         elif kind == "pair":
             ok = _chosen(v) if d["chosen_key"] else _issued(v, 12)
         else:
-            if _issued(v, 24) and not _HEX.match(v) and not _IDENT.match(v) and text[max(0, s - 24) : s].find("base64,") < 0:
+            if _issued(v, 24) and not _HEX.match(v) and not _name(v) and text[max(0, s - 24) : s].find("base64,") < 0:
                 alone.append((s, e, "token"))
             at = s
             continue
         if ok:
-            out.append((s, e, kind))
+            out.append((s, e, kind, insides))
+
+
+_PART = re.compile(_STR % "p")
+#: An escape, however often its backslash is doubled, or any character that is neither white space nor a quote.
+_COVERED = re.compile(r"\\+(?:u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{2}|[^\s\"'`])|[^\s\"'`\\]")
+_KEY_BODY = re.compile(r"(\\+[nrt])|\\+(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[^\s\"'`])|[A-Za-z0-9]")
 
 
 def mask_credentials(text: str | None) -> str | None:
-    """The text with every credential's letters and digits replaced by *, everything else kept."""
+    """The text with every credential replaced by * of the same length, white space, quotes and all around it kept."""
     if not text:
         return text
     parts, at = [], 0
-    for s, e, kind in find_credentials(text):
-        body = re.sub(r"\\[nrt]|[A-Za-z0-9]", lambda m: m[0] if m[0][0] == "\\" else "*", text[s:e]) if kind == "pem" else re.sub(r"[^\s\"'`\\+.]", "*", text[s:e])
-        parts += [text[at:s], body]
-        at = e
+    for _, _, kind, insides in _spans(text):
+        for s, e in insides:
+            body = _KEY_BODY.sub(lambda m: m[1] or "*" * len(m[0]), text[s:e]) if kind == "pem" else _COVERED.sub(lambda m: "*" * len(m[0]), text[s:e])
+            parts += [text[at:s], body]
+            at = e
     return "".join(parts) + text[at:]
 
 

@@ -1,7 +1,10 @@
 """Kernels of the text operators without Spark."""
 
+import ast
+import json
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -134,8 +137,8 @@ def test_scan_does_not_depend_on_text_around(monkeypatch):
             texts += [t[:k] + t[k + n :], t[:k], t[k:], t.upper()[:k] + t[k:]]
     got = [C.find_credentials(t) for t in texts]
     matched = [C._FIND.search(t) is not None for t in texts]
-    assert all(C._may_hold(t) for t, m in zip(texts, matched, strict=True) if m)
-    monkeypatch.setattr(C, "_may_hold", lambda t: True)
+    assert all(C._may_hold(t, t.lower()) for t, m in zip(texts, matched, strict=True) if m)
+    monkeypatch.setattr(C, "_may_hold", lambda *t: True)
     assert got == [C.find_credentials(t) for t in texts]
 
 
@@ -261,6 +264,44 @@ def test_meeting_in_batches_equals_all_pairs():
         assert got == {(x, y) for g in groups.values() if len(g) <= crowded for x in g for y in g if x < y}
 
 
+def tokens(letters, n, length=32, seed=11):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(length)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("form", ["# rotate %s soon\n", "%s\n", 'x = "%s"\n', "API_KEY=%s\n", "export SERVICE_TOKEN=%s\n", "api_key: %s\n", "  client_secret: %s\n"])
+@pytest.mark.parametrize("more", ["", "+/", "-_"])
+def test_random_tokens_are_found(form, more):
+    found = sum(bool(C.find_credentials(form % t)) for t in tokens(string.ascii_letters + string.digits + more, 1000))
+    assert found >= 950
+
+
+@pytest.mark.parametrize("text", ["password: hunter2x9\n", "db:\n  password: hunter2x9\n", "PASSWORD=hunter2x9\n", 'u = "ftp://' + "u" * 100 + ":" + "p7" * 150 + '@h/x"'])
+def test_values_without_quotes_and_of_any_length(text):
+    assert C.find_credentials(text) and not C.find_credentials(C.mask_credentials(text))
+
+
+@pytest.mark.parametrize("text", ["password: string;", "password = password2", "token: SessionToken2Factory", "self.token_provider_factory_builder_v2 = make()", "pwd: cfg.p2p.word", "see src/walrus/lantern_42/harbor_17/index_of_all_vessels"])
+def test_code_without_quotes_is_no_credential(text):
+    assert C.find_credentials(text) == []
+
+
+KEYS = tokens(string.ascii_letters + string.digits, 4)
+MASKED = [f'password = b"hunter2x9"\n', f'api_key = rb"{KEYS[0]}"\n', f'token = "{KEYS[0][:16]}" + "{KEYS[0][16:]}"\n', f'secret = ("{KEYS[1][:16]}" +\n    b\'{KEYS[1][16:]}\')\n', 'password = "hun\\x74er2\\u0041x9\\n"\n', f'password = f"hunter{{n}}2x9"\n', f'connect("https://bob:hunter2x9@host/x", token=u"{KEYS[2]}")\n', f'K = """-----BEGIN PRIVATE KEY-----\\n{KEYS[3]}\\u0041{KEYS[2]}\\n-----END PRIVATE KEY-----"""\n']
+
+
+@pytest.mark.parametrize("text", MASKED)
+def test_masked_code_still_parses_and_payloads_stay_json(text):
+    ast.parse(text)
+    masked = C.mask_credentials(text)
+    ast.parse(masked)
+    for body in (text, text.replace("hunter", "hun\x01ter")):
+        payload = json.dumps({"definitions": [{"text": body, "password": "hun\x01ter2x9\u2028"}], "imports": []})
+        again = json.loads(C.mask_credentials(payload))
+        assert set(again) == {"definitions", "imports"} and "hun" not in again["definitions"][0]["password"]
+        ast.parse(again["definitions"][0]["text"]) if "\x01" not in body else None
+
+
 SENTENCES = [
     'She asked "Why?" and left. |The note says "the rows go." |It grew. |(All done.) |Next one. |Dr. Foo ran 3.5 km at 9 a.m. |The end etc. |Next.',
     "# Head\n\n|Text one goes\non here. |Text two...|Three?! |Four", "«Всё пусто. Ждите.» написал узел. |Узлы и т. д. |Ещё узел.", "他说：“缓存读取计划。”|如果树在。|“索引在。请重试。”这是提示。", "担当者は「テストを飛ばす。」と書いた。|次です。",

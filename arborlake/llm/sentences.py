@@ -3,10 +3,15 @@
 Everything local to a mark (the word before it, the next character) is read from
 a bounded stretch around it and turned into one input symbol; what is not local
 (inside which quotation, how deep in brackets, whether a colon led in) is the
-state of a transducer of 16 states compiled into a table. Texts longer than a
-chunk are cut into chunks; each chunk is a function from the state at its start
-to the state at its end, the functions are composed by a prefix scan, and only
-then each chunk writes its boundaries from the state it really starts in.
+state of a transducer of 16 states compiled into a table. Texts are cut into
+chunks behind a word, where no mark and no white space can reach across, so every
+chunk has the marks that the whole text has there. Each chunk is a function from
+the state at its start to the state at its end. The functions are composed by a
+parallel prefix scan: blocks of FAN neighbours become one function, level by
+level, and the states come down again from the top; composition is associative,
+so no step needs more than one block. Only then each chunk writes its boundaries
+from the state it really starts in. A text of one chunk starts in state 0 and is
+written where it was read.
 
 Rules: blank lines end a sentence, single line breaks do not, a heading line is
 a sentence; nothing inside quotation marks or brackets ends one; a quotation or
@@ -22,6 +27,7 @@ repeated rows of a doc_id give its sentences once; positions are code points.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -31,8 +37,8 @@ from pyspark.sql import functions as F
 
 from arborlake.core import scratch
 
-#: Code points a chunk owns, and what it may look at on either side.
-CHUNK, CONTEXT = 20_000, 256
+#: Code points from which a chunk ends behind the next word, what it may look at before and behind it, and functions composed at once.
+CHUNK, CONTEXT, AHEAD, FAN = 20_000, 256, 8, 64
 
 #: Abbreviations no sentence ends with before a capital, whatever follows.
 _ABBREVIATIONS = frozenset(
@@ -124,8 +130,8 @@ def _glued(t: str, i: int, j: int) -> bool:
     return bool(_WORD_END.search(t[max(0, i - 40) : i]) and _WORD_START.match(t, j))
 
 
-def symbols(t: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    """(symbol, boundary position or -1) of the marks that start in t[lo:hi].
+def symbols(t: str, lo: int, hi: int, heading: bool = False) -> list[tuple[int, int]]:
+    """(symbol, boundary position or -1) of the marks that start in t[lo:hi]; heading: the line t begins in is one.
 
     Symbols: 0 paragraph end; 1 stop; 2..7 quotation kind opens (+6 after a colon: 8..13);
     14..25 a closing mark of kind k (' " ' and “ also open): see _compile; 26 bracket opens; 27..28 bracket closes.
@@ -141,8 +147,8 @@ def symbols(t: str, lo: int, hi: int) -> list[tuple[int, int]]:
                 p = _SPACE.match(t, j).end()
                 out.append((0, p if p < len(t) else -1))
             else:
-                start = t.rfind("\n", max(0, i - CONTEXT), i) + 1
-                if _HEADING.match(t, start, i) and start <= i or _HEADING.match(t, j):
+                start = t.rfind("\n", 0, i) + 1
+                if (heading if not start and heading is not None else _HEADING.match(t, start, i)) or _HEADING.match(t, j):
                     p = _SPACE.match(t, j).end()
                     out.append((0, p if p < len(t) else -1))
         elif c in "  　  ":
@@ -231,25 +237,67 @@ def write(events: list[tuple[int, int]], state: int) -> list[int]:
     return out
 
 
+_WORD_LAST = re.compile(r"[^\W_](?![^\W_])")
+
+
+def pieces(text: str, chunk: int = CHUNK) -> list[tuple[str, int, int, int, bool | None]]:
+    """(piece, own_lo, own_hi, base, heading) of every chunk; base: where the piece begins in the text, heading: see symbols, None where the piece begins the text."""
+    cuts = [0]
+    while len(text) - cuts[-1] > chunk and (m := _WORD_LAST.search(text, cuts[-1] + chunk - 1)) and m.end() < len(text):
+        cuts.append(m.end())
+    cuts.append(len(text))
+    out = []
+    line = 0  # start of the line that the piece begins in
+    for a, z in zip(cuts, cuts[1:]):
+        base = max(0, a - CONTEXT)
+        line = max(line, text.rfind("\n", line, base) + 1)
+        out.append((text[base : z + AHEAD], a - base, z - base, base, bool(_HEADING.match(text, line)) if base else None))
+    return out
+
+
 def sentence_starts(text: str | None, chunk: int = CHUNK) -> list[int]:
     """Start positions of the sentences of one text, by chunks as the cluster does it."""
     if not text or not text.strip():
         return []
-    parts = [symbols(*_piece(text, a, chunk)) for a in range(0, len(text), chunk)]
     state, out = 0, {_SPACE.match(text).end()}
-    for k, events in enumerate(parts):
-        base = max(0, k * chunk - CONTEXT)
+    for piece, a, z, base, heading in pieces(text, chunk):
+        events = symbols(piece, a, z, heading)
         out.update(p + base for p in write(events, state))
         state = transition(events)[state]
     return sorted(p for p in out if p < len(text))
 
 
-def _piece(text: str, a: int, chunk: int) -> tuple[str, int, int]:
-    lo, hi = max(0, a - CONTEXT), min(len(text), a + chunk + CONTEXT)
-    return text[lo:hi], a - lo, min(a + chunk, len(text)) - lo
+def _then(first, second):
+    """The function that applies first, then second."""
+    return F.transform(first, lambda s: F.element_at(second, s + 1))
 
 
-def split_sentences(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def scan_states(functions: DataFrame, keys: list[str], last: int, fan: int = FAN) -> DataFrame:
+    """(keys, chunk, state): the state each chunk starts in, from (keys, chunk, f) with chunks numbered 0..last at most.
+
+    Up: blocks of fan neighbouring functions are composed to one until a key has
+    one block; down: each block hands its chunks their states. No row holds more
+    than fan functions.
+    """
+    identity = F.array(*(F.lit(k) for k in range(_STATES)))
+    levels, f = [], functions
+    while True:
+        block = f.groupBy(*keys, F.floor(F.col("chunk") / fan).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"))
+        levels.append(block)
+        if last < fan:
+            break
+        last //= fan
+        f = scratch(block.select(*keys, F.col("block").alias("chunk"), F.aggregate("fs", identity, lambda acc, x: _then(acc, x["f"])).alias("f")), "functions")
+    states = None
+    for block in reversed(levels):
+        start = block.withColumn("state", F.lit(0)) if states is None else block.join(states.withColumnRenamed("chunk", "block"), [*keys, "block"])
+        run = F.aggregate("fs", F.array("state"), lambda acc, x: F.concat(acc, F.array(F.element_at(x["f"], F.element_at(acc, -1) + 1))))
+        pairs = F.arrays_zip(F.transform("fs", lambda x: x["chunk"]).alias("chunk"), F.slice(run, 1, F.size("fs")).alias("state"))
+        states = start.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.chunk", "p.state")
+    return states
+
+
+def split_sentences(documents: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(doc_id, sent_start) for every sentence of every document."""
     docs = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
 
@@ -262,17 +310,25 @@ def split_sentences(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 starts += s
             yield pd.DataFrame({"doc_id": ids, "sent_start": starts}).astype({"doc_id": "int64", "sent_start": "int64"})
 
+    def cut(batches):
+        for b in batches:
+            for i, t in zip(b["doc_id"], b["text"], strict=True):
+                at = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                first = _SPACE.match(t).end()
+                if first < len(t):
+                    rows = [(i, at, k, *p, first if k == 0 else -1) for k, p in enumerate(pieces(t, chunk))]
+                    yield pd.DataFrame(rows, columns=["doc_id", "of", "chunk", "piece", "own_lo", "own_hi", "base", "heading", "first"])
+
     def functions(batches):
         for b in batches:
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"], "chunk": b["chunk"], "f": [transition(symbols(p, a, z)) for p, a, z in zip(b["piece"], b["own_lo"], b["own_hi"], strict=True)]}
-            )
+            f = [transition(symbols(p, a, z, h)) for p, a, z, h in zip(b["piece"], b["own_lo"], b["own_hi"], b["heading"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "of": b["of"], "chunk": b["chunk"], "f": f})
 
     def emit(batches):
         for b in batches:
             ids, starts = [], []
-            for i, p, a, z, base, st in zip(b["doc_id"], b["piece"], b["own_lo"], b["own_hi"], b["base"], b["state"], strict=True):
-                s = [x + base for x in write(symbols(p, a, z), st)]
+            for i, p, a, z, base, h, first, st in zip(b["doc_id"], b["piece"], b["own_lo"], b["own_hi"], b["base"], b["heading"], b["first"], b["state"], strict=True):
+                s = [x + base for x in write(symbols(p, a, z, h), st)] + ([first] if first >= 0 else [])
                 ids += [i] * len(s)
                 starts += s
             yield pd.DataFrame({"doc_id": ids, "sent_start": starts}).astype({"doc_id": "int64", "sent_start": "int64"})
@@ -280,31 +336,15 @@ def split_sentences(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     out = "doc_id long, sent_start long"
     n = F.length("text")
     small = docs.where(n <= chunk).mapInPandas(short, out)
-    lo = F.greatest(F.col("chunk") * chunk - CONTEXT, F.lit(0))
-    hi = F.least((F.col("chunk") + 1) * chunk, F.col("n"))
-    long = docs.where(n > chunk).withColumn("n", n).select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("int"))).alias("chunk"))
-    pieces = scratch(
-        long.select(
-            "doc_id",
-            "chunk",
-            lo.cast("int").alias("base"),
-            (F.col("chunk") * chunk - lo).cast("int").alias("own_lo"),
-            (hi - lo).cast("int").alias("own_hi"),
-            F.substring("text", lo.cast("int") + 1, (hi + CONTEXT - lo).cast("int")).alias("piece"),
-        ).repartition("doc_id", "chunk"),
-        "pieces",
-    )
-    per = pieces.mapInPandas(functions, "doc_id long, chunk int, f array<int>")
-    # prefix scan: the state a chunk starts in is the composition of all functions before it, applied to 0
-    states = (
-        per.dropDuplicates(["doc_id", "chunk"])
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"))
-        .select("doc_id", F.posexplode(F.slice(F.aggregate("fs", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(x["f"], F.element_at(acc, -1) + 1)))), 1, F.size("fs"))).alias("chunk", "state"))
-    )
-    large = pieces.join(states, ["doc_id", "chunk"]).mapInPandas(emit, out)
-    first = docs.where((n > chunk) & (F.trim(F.col("text")) != "")).select("doc_id", F.length(F.regexp_extract("text", r"^\s*", 0)).cast("long").alias("sent_start")).where(F.regexp_extract("text", r"\S", 0) != "")
-    return small.unionByName(large).unionByName(first).dropDuplicates(["doc_id", "sent_start"])
+    cuts = docs.where(n > chunk).mapInPandas(cut, "doc_id long, of long, chunk int, piece string, own_lo int, own_hi int, base int, heading boolean, first int")
+    keys = ["doc_id", "of"]
+    parts = scratch(cuts.repartition(*keys, "chunk").dropDuplicates([*keys, "chunk"]), "pieces")
+    per = scratch(parts.mapInPandas(functions, "doc_id long, of long, chunk int, f array<int>"), "functions")
+    last = per.agg(F.max("chunk")).first()[0]
+    if last is None:
+        return small.dropDuplicates(["doc_id", "sent_start"])
+    large = parts.join(scan_states(per, keys, last, fan), [*keys, "chunk"]).mapInPandas(emit, out)
+    return small.unionByName(large).dropDuplicates(["doc_id", "sent_start"])
 
 
 def prose_sentences(documents: DataFrame) -> DataFrame:

@@ -320,6 +320,17 @@ def test_sentences(marked):
         assert sentence_starts(text, chunk) == want
 
 
+def test_chunks_give_what_the_whole_text_gives():
+    rng = random.Random(9)
+    bits = ["# Head", "## Überschrift zwei", "\n\n", "\n", " \n \t\n", "\n" * 400, " ", "  ", "The node is empty.", "Dr. Foo ran 3.5 km", "(see a. B.)", '"Why?" she asked.', "„Leer. Bitte.“", "他说：“缓存。”如果。", "กราฟอ่าน ไทย", "…", "...", "!?", "word " * 70, "एक दो।", "No. 5", "«Да. Нет.»", "x" * 300, "#", "-" * 30, ")", "“"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(1, 40)))
+        want = sentence_starts(text, max(len(text), 1))
+        for chunk in (rng.randrange(1, 40), 300):
+            assert sentence_starts(text, chunk) == want, (chunk, text)
+    assert sentence_starts("# Title\n\n" + "word " * 60 + "\nmore words here.", 40) == [0, 9]
+
+
 def test_no_sentences():
     assert sentence_starts(None) == [] and sentence_starts("") == [] and sentence_starts(" \n\n ") == []
 

@@ -115,7 +115,7 @@ def test_sentences_by_chunks(spark):
     long = 'He said "One. Two." and left. Next one! ' * 400 + "\n\n" + "A (b. C.) d. E.\n\n" * 200
     docs = spark.createDataFrame([(1, "One. Two.", "s", "article"), (2, None, "s", "article"), (3, "", "s", "review"), (4, long, "s", "concept"), (5, "One. Two.", "s", "log"), (1, "One. Two.", "s", "article"), (6, "  \n\n ", "s", "review"), (7, "  Lead. X", None, "review")], DOCS)
     got = {}
-    for r in sentences.split_sentences(clash(docs).where("doc_kind <> 'log'"), chunk=700).collect():
+    for r in sentences.split_sentences(clash(docs).where("doc_kind <> 'log'"), chunk=70, fan=3).collect():
         got.setdefault(r.doc_id, []).append(r.sent_start)
     assert sorted(got[1]) == [0, 5] and set(got) == {1, 4, 7} and sorted(got[7]) == [2, 8]
     assert sorted(got[4]) == sentences.sentence_starts(long)

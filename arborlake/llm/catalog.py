@@ -33,4 +33,11 @@ SQL: dict[str, str] = {
         n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
         b AS (SELECT x.r AS rx, y.r AS ry, any_value(x.id) AS ix, any_value(y.id) AS iy, count(*) AS both_have FROM g x JOIN g y ON x.run = y.run AND x.id < y.id GROUP BY x.r, y.r)
         SELECT DISTINCT ix AS id_a, iy AS id_b FROM b JOIN n p ON p.r = rx JOIN n q ON q.r = ry WHERE 10 * both_have >= 6 * (p.n + q.n - both_have)""",
+    "p9_found": """
+        WITH t AS (SELECT 'i' AS side, item_id AS id, text FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL
+                   UNION SELECT 'd', doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        low AS (SELECT side, id, regexp_replace(lower(regexp_replace(text, '[\u00ad\u200b-\u200f\u2060\ufeff]', '', 'g')), '</?[a-z!][^<>\n]{0,200}>|&(?:[a-z]{2,8}|#[0-9]{1,6});', ' ', 'g') AS x FROM t),
+        one AS (SELECT row_number() OVER () AS r, side, id, regexp_extract_all(regexp_replace(x, '(\\p{L})[-\u2010\u2011]\\r?\\n[ \\t>/#*;%!-]*(\\p{L})', '\\1\\2', 'g'), '[\\p{L}\\p{N}]+') AS w FROM low),
+        win AS (SELECT side, id, list_slice(w, k, k + 11) AS run FROM (SELECT side, id, w, unnest(range(1, len(w) - 10)) AS k FROM one WHERE len(w) >= 12))
+        SELECT DISTINCT i.id AS item_id, d.id AS doc_id FROM win i JOIN win d ON i.run = d.run WHERE i.side = 'i' AND d.side = 'd'""",
 }

@@ -28,7 +28,7 @@ def make(n, seed=1):
 def test_rounds_equal_brute_force(spark):
     rows = make(2000)
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 as _chunk", "8 as n")
-    for chunk_rows, fan_in in ((10, 2), (50, 3), (10**6, 16)):
+    for chunk_rows, fan_in in ((10, 2), (50, 3), (400, 16), (10**6, 16)):
         out = {(r.kind, r.target_id): (r.n_edges, r.n_callers) for r in edge_key_stats(df, chunk_rows, fan_in).collect()}
         assert out == brute(rows)
 
@@ -38,3 +38,10 @@ def test_heavy_keys_and_empty(spark):
     want = {k for k, v in brute(rows).items() if v[0] >= 15}
     assert {tuple(r) for r in heavy_keys(spark.createDataFrame(rows, SCHEMA)).collect()} == want
     assert heavy_keys(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_are_placed_once(spark):
+    """Without hot keys one exchange brings all rows together; the aggregates after it need none."""
+    df = spark.createDataFrame(make(500), SCHEMA)
+    plan = edge_key_stats(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

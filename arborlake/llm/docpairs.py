@@ -159,8 +159,12 @@ def _brace_spans(text: str, language: str):
         elif _ATTRIBUTE.match(t):
             i += 1
         else:
-            head = " ".join(lines[i : i + 12])
-            return i, i, breaks, comments, set(re.findall(r"[A-Za-z_]\w*", head.split("{")[0]))
+            head = []  # the whole header, down to its body
+            for x in lines[i:]:
+                head.append(x.partition("{")[0])
+                if "{" in x:
+                    break
+            return i, i, breaks, comments, set(re.findall(r"[A-Za-z_]\w*", " ".join(head)))
     return None
 
 

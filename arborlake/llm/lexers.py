@@ -82,7 +82,9 @@ _NESTED = r"/\*(?>[^*/]++|\*(?!/)|/(?!\*)|/\*(?>(?s:.*?)\*/))*+\*/"
 _DQ = r'"(?:\\.|[^"\\\n])*"'
 _SQ = r"'(?:\\.|[^'\\\n])*'"
 _CHAR = r"'(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\u\{[0-9a-fA-F]+\}|\\.|[^'\\\n])'"
-_TICK = r"`(?:\\.|[^`\\])*`"
+_TICK = r"`(?>\\(?s:.)|[^`\\$]++|\$(?!\{))*+`"
+for _ in range(3):  # templates inside the expressions of templates
+    _TICK = r"`(?>\\(?s:.)|[^`\\$]++|\$(?!\{)|\$\{(?>[^`{}\"']++|\{[^{}`]*+\}|" + _DQ + "|" + _SQ + "|" + _TICK + r")*+\})*+`"
 _REGEX = r"(?:(?<=[=(,:!&|?;{])|(?<=[=(,:!&|?;{] )|(?<=return ))/(?![*/ ])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
 _OPS = r"\.\.\.|=>|->|:=|\+\+|--|<<=|>>=|\*\*=|&&=|\|\|=|\?\?=|[-+*/%&|^]=|===|!==|==|!=|<=|&&|\|\||\?\?|\?\.|::|\.\.=|\.\.|<-|\*\*"
 

@@ -31,11 +31,15 @@ from arborlake.core import lookup, scratch
 from arborlake.llm.lexers import language_of, lex
 
 #: Canonical lines over original non-empty code lines from which a file is squeezed.
-EXPANSION = 4.0
-#: Share of canonical lines of one shape from which a file is uniform, and the fewest lines that can tell.
-UNIFORM, LEAST_LINES = 0.7, 4
+EXPANSION = 8.0
+#: Share of canonical lines of one shape from which a file is uniform, the share that suffices below a generator's header, and the fewest lines that can tell.
+UNIFORM, UNIFORM_BELOW_HEADER, LEAST_LINES = 0.9, 0.6, 10
 #: Share of code characters inside literals from which a file is data.
 LITERAL, LEAST_LITERAL = 0.5, 400
+#: Words in a literal from which it is prose, which people write.
+PROSE_WORDS = 6
+#: Extensions whose statements end and nest as in a language that has a lexer; used for layout only.
+LIKE = {"css": "java", "scss": "java", "less": "java", "c": "java", "h": "java", "cc": "java", "cpp": "java", "hpp": "java", "php": "java", "swift": "kotlin", "scala": "kotlin", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "tsx": "typescript", "kts": "kotlin"}
 #: Canonical tokens from which equal copies in two repositories are no chance.
 LEAST_TOKENS = 40
 
@@ -76,7 +80,7 @@ def _code_lines(tokens: list[str], classes: list[str]) -> tuple[list[str], int,
             continue
         code += len(t)
         if c in "s0":
-            lit += len(t)
+            lit += len(t) if c == "0" or len(t.split(None, PROSE_WORDS)) <= PROSE_WORDS else 0
         if c in "([":
             depth += 1
         elif c in ")]":
@@ -95,9 +99,8 @@ def _code_lines(tokens: list[str], classes: list[str]) -> tuple[list[str], int,
     return shapes, own, lit, code, n
 
 
-def layout(text: str, language: str) -> dict:
-    """Evidence of one file: expansion, uniform, literal, and the canonical form's hash and length."""
-    tokens, classes = lex(text, language)
+def layout(tokens: list[str], classes: list[str]) -> dict:
+    """Evidence of one lexed file: expansion, canonical lines, uniform, literal, and the canonical form's hash and length."""
     shapes, own, lit, code, n = _code_lines(tokens, classes)
     body = [s for s in shapes if len(s) > 2]
     top, share = ("", 0.0)
@@ -106,19 +109,19 @@ def layout(text: str, language: str) -> dict:
         share = k / len(body)
     if not re.search(r"[=(:]", top):
         share = 0.0
-    h = hashlib.blake2b(" ".join(t for t, c in zip(tokens, classes, strict=True) if c not in ("", "\n")).encode(), digest_size=16).hexdigest()
-    return {"expansion": len(shapes) / max(own, 1), "uniform": share, "literal": lit / max(code, 1), "literal_chars": lit, "tokens": n, "canonical": h}
+    h = hashlib.blake2b(" ".join(t for t, c in zip(tokens, classes, strict=True) if c not in ("", "\n")).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return {"expansion": len(shapes) / max(own, 1), "lines": len(shapes), "uniform": share, "literal": lit / max(code, 1), "literal_chars": lit, "tokens": n, "canonical": h}
 
 
 def evidence(path: str, text: str | None) -> tuple:
-    """(reason or None, canonical hash or None) from the file alone."""
+    """(reason or None, canonical hash or None) from the file alone; it is lexed once."""
     repo = path.split("/", 1)[0]
     folder = "vendored folder" if _FOLDERS.search(path) else None
     if not text:
         return folder, None
-    lang = language_of(path)
+    lang = language_of(path) or LIKE.get(path.rpartition(".")[2].lower())
     if lang is None:
-        return folder, hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if len(text) >= 200 else None
+        return folder, hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if len(text) >= 200 else None
     tokens, classes = lex(text, lang)
     opening = []
     for t, c in zip(tokens, classes, strict=True):
@@ -128,7 +131,7 @@ def evidence(path: str, text: str | None) -> tuple:
             break
     head = _comment_text("\n".join(opening))
     m = _BANNER.search(head)
-    f = layout(text, lang)
+    f = layout(tokens, classes)
     copied = f["canonical"] if f["tokens"] >= LEAST_TOKENS else None
     if folder:
         return folder, copied
@@ -136,11 +139,11 @@ def evidence(path: str, text: str | None) -> tuple:
         return "licence of another project", copied
     if f["literal"] >= LITERAL and f["literal_chars"] >= LEAST_LITERAL:
         return "data", f["canonical"]
-    if f["expansion"] >= EXPANSION:
+    if f["expansion"] >= EXPANSION and f["lines"] >= LEAST_LINES:
         return "minified", f["canonical"]
     if f["uniform"] >= UNIFORM:
         return "generated", f["canonical"]
-    if any(_HEADER.search(x) for x in head.split("\n")) and f["uniform"] >= 0.4:
+    if f["uniform"] >= UNIFORM_BELOW_HEADER and any(_HEADER.search(x) for x in head.split("\n")):
         return "generated header", f["canonical"]
     return None, copied
 

@@ -40,12 +40,12 @@ _RULES = {
         r"^\n*[<=b]", r"h(?![afv({\n])", r"(?:^|\n|;)\n*(?:a|v)\n*\{", r"C[af]+\(", r"b\n*b", r"[=(,R]\{\{",
     ],
     "java": [
-        r"[0sv][a0svNT]", r"a[0sv]", r"aaa", r"(?<![C])aa(?![=;(,):\[<{h.]|L)", r"(?<!C)aa[.{]", r"T[0sv{;]", r"(?<=.)TT", r"x", r"C\{", r"@@", r"P(?![aM])", r"P[aM.*]*[^aM.*;]",
+        r"[0sv][a0svNT]", r"a[0sv]", r"aaa", r"(?<![Co])aa(?![=;(,):\[<{h.]|L)", r"(?<!C)aa[.{]", r"T[0sv{;]", r"(?<=.)TT", r"x", r"C\{", r"@@", r"P(?![aM])", r"P[aM.*]*[^aM.*;]",
         r"[({\[;,][b=?%]", r"[b=%+\-.&|][;)\]}]", r"[-+*/%b=,\[(][RBK]", r"[-+*/%b=][IE]", r"^[<=b]", r"b[b*/%]", r"\{\{", r"E[a0sv]*\((?!.)", r"R[})\]]",
         r"#", r"\)a\{", r"M[(=]", r"I[^({]", r"s\(", r"0\(",
     ],
     "csharp": [
-        r"[0sv][a0svNT]", r"a[0sv]", r"aaa", r"(?<![CP])aa(?![=;(,):\[<{?]|L|h)", r"T[0s{;](?<!T;)", r"(?<=.)TT", r"C\{", r"@@", r"I[a0T](?!.)",
+        r"[0sv][a0svNT]", r"a[0sv]", r"aaa", r"(?<![CP])aa(?![=;(,):\[<{?]|L|h)", r"(?<!:)T[0s{;](?<!T;)", r"(?<=.)TT", r"C\{", r"@@", r"I[a0T](?!.)",
         r"[({\[;,][b=?%]", r"[b=%+\-.][;)\]}]", r"[-+*/%b=,\[(][RBK]", r"[-+*/%b=][E]", r"^[<=b]", r"b[b*/%]", r"[=(,RC]\{\{", r"[a\]]\{\{", r"s\(", r"0\(", r"Ia(?:\.a)*(?![;.a=<])",
         r"M[=]",
     ],
@@ -55,8 +55,8 @@ _RULES = {
         r"(?:^|\n)-[RDIF]", r"D\w\n*[(.]", r"D[aM](?=\n|$|\})",
     ],
     "rust": [
-        r"[a0sv\])][a0sv]", r"F(?![af])", r"F[af]\{", r"D[^;{}]*(?:D)", r"D(?![afU(v&{\[])", r"D[af][(.]", r"@", r"[({\[;,][b=?%]", r"[b=%+\-][;)\]}]", r"[-+*/%b=,\[(][B]", r"^[<=b]",
-        r"b[b/%]", r"[FMD]?\{\{a[.:]", r"P(?![afv{*.MFUE])", r"-R", r"\)R", r"[a0sv)]E(?<!U)(?=[^.{])",
+        r"[a0sv\])][a0sv]", r"(?<![=:<(,&LU|])F(?![af])", r"F[af]\{", r"D[^;{}]*(?:D)", r"D(?![afU(v&{\[])", r"D[af](?:\.[af])*\((?:[^()]|\([^()]*\))*\)(?![=:])", r"D[af]\.[af][=;]", r"(?<!a)@", r"[({\[;,][b=?%]", r"[b=%+\-][;)\]}]", r"[-+*/%b=,\[(][B]", r"^[<=b]",
+        r"b[b/%]", r"[FMD]?\{\{a[.:]", r"P(?![afvs){*.MFUE])", r"-R", r"\)R", r"[a0sv)]E(?<!U)(?=[^.{])",
     ],
     "go": [
         r"a[0]", r"[0sv][a0v]", r"[0v]s", r"s[s]", r"aaa(?!s?\n)", r"@", r"#", r"F\{\{", r"[FYV]\{", r"[({\[;,]\n*[b=?%]", r"[b=%+\-.]\n*[;)\]}]", r"[-+*/%b=,\[(]\n*[B]", r"[-+*/%b=,\[(]R",
@@ -70,6 +70,37 @@ _GO_GROUP = re.compile(r"[PVY]\([^()]*\)")
 _GO_STRUCT = re.compile(r"S\{[^{}]*\}")
 
 
+#: Words that stand for something else in these places.
+_KEY = re.compile(r"(?<=[{,])(\n*)[A-Zvof](?=\n*:)")
+_INFIX = re.compile(r"(?<=[a0sv)\]])a(?=[a0sv])")
+
+
+def _classes(text: str, language: str) -> str:
+    """One class a token, with words read by their place: keys, tagged templates, switch as a value, guards, impl ... for."""
+    tokens, classes = lex(text, language)
+    if language in ("java", "rust") or "`" in text and language in ("javascript", "typescript"):
+        prev, out = "", []
+        for t, c in zip(tokens, classes, strict=True):
+            if c in ("", "\n"):
+                out.append(c)
+                continue
+            if t == "switch" and language == "java" and prev and prev in "=(,RL?:":
+                c = "a"
+            elif language == "rust" and t in ("for", "if") and prev and prev in "a0sv)]>":
+                c = "o"
+            elif t[0] == "`" and prev and prev in "a)]" and language != "rust":
+                c = ""
+            out.append(c)
+            prev = c or prev
+        classes = out
+    c = "".join(classes)
+    if language in ("javascript", "typescript"):
+        c = _KEY.sub(r"\1a", c)
+    elif language == "kotlin":
+        c = _INFIX.sub("o", c)
+    return c
+
+
 def _brackets(c: str, lang: str) -> str | None:
     """The bracket stack, and what may stand around a bracket."""
     stack: list[tuple[str, int, str]] = []
@@ -153,7 +184,7 @@ def why_invalid(text: str, language: str) -> str | None:
         text = text[1:]
     if text.startswith("#!"):
         text = "//" + text
-    c = "".join(lex(text, language)[1])
+    c = _classes(text, language)
     if "\0" in c:
         return "lexical"
     if language in ("java", "csharp", "rust"):

@@ -331,6 +331,13 @@ def test_chunks_give_what_the_whole_text_gives():
     assert sentence_starts("# Title\n\n" + "word " * 60 + "\nmore words here.", 40) == [0, 9]
 
 
+def test_every_parameter_of_a_long_header_is_one():
+    header = "public int f(\n" + ",\n".join(f"    int p{k}" for k in range(40)) + ") {\n  return 1;\n}\n"
+    for k in (0, 3, 39):
+        found = D.spans(f"/**\n * p{k}: eight words that say what it is for\n */\n" + header, "java", "f")
+        assert found[3][0][4] == 0
+
+
 def test_no_sentences():
     assert sentence_starts(None) == [] and sentence_starts("") == [] and sentence_starts(" \n\n ") == []
 

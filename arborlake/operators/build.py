@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.operators.resolve import ancestor_folders, definitions
+from arborlake.core import scratch
+from arborlake.operators import resolve as R
+from arborlake.operators.resolve import ancestor_folders, symbols
 
 CLIP, MARK = 4000, "\n... [truncated]"
 
@@ -35,16 +37,7 @@ def file_nodes(files: DataFrame) -> DataFrame:
 
 def definition_nodes(payloads: DataFrame) -> DataFrame:
     """(id, kind, name, parent_id): classes, functions and methods with their innermost parent; functions inside another definition are methods."""
-    d = definitions(payloads, with_line=True)
-    p = d.select("file_path", F.col("ord").alias("parent_ord"), F.col("name").alias("pn"), F.col("kind").alias("pk"))
-    x = d.join(p, ["file_path", "parent_ord"], "left")
-    kind = F.when((F.col("kind") == "function") & F.col("pn").isNotNull(), "method").otherwise(F.col("kind"))
-    q = F.concat_ws(".", "pn", "name")
-    w = Window.partitionBy("file_path", "k", "q").orderBy("start", "ord")
-    x = x.withColumn("k", kind).withColumn("q", q).withColumn("r", F.row_number().over(w))
-    node = F.concat("k", F.lit(":"), "file_path", F.lit("::"), "q", F.when(F.col("r") > 1, F.concat(F.lit(":L"), F.col("line").cast("string"))).otherwise(F.lit("")))
-    parent = F.when(F.col("pn").isNull(), F.concat(F.lit("file:"), "file_path")).otherwise(F.concat("pk", F.lit(":"), "file_path", F.lit("::"), "pn"))
-    return x.select(node.alias("id"), F.col("k").alias("kind"), "name", parent.alias("parent_id"))
+    return symbols(payloads).select("id", "kind", "name", "parent_id")
 
 
 def external_nodes(targets: DataFrame) -> DataFrame:
@@ -63,3 +56,24 @@ def assemble(files: DataFrame, payloads: DataFrame, targets: DataFrame) -> tuple
     n = reduce(DataFrame.unionByName, (folder_nodes(files), file_nodes(files), definition_nodes(payloads), external_nodes(targets)))
     n = n.groupBy("id").agg(F.min(F.struct("kind", "name", "parent_id")).alias("m")).select("id", "m.*")
     return n, containment(n)
+
+
+def assemble_graph(files: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a source tree: edges (source_id, target_id, kind, resolved, confidence, score) contain, import, call and inherit.
+
+    One edge an occurrence for calls and imports; scores in hundredths. External
+    targets become nodes of their own.
+    """
+    p = scratch(payloads, "payloads")
+    found = R.resolve_imports(R.file_imports(p), files)
+    imports = scratch(R.resolved_imports(p, files), "imports")
+    calls, defs = R.payload_calls(p, with_source=True)
+    defs = scratch(defs, "defs")
+    edge = lambda kind, score: ("source_id", F.col("target").alias("target_id"), F.lit(kind).alias("kind"), F.col("resolved").cast("int").alias("resolved"), "confidence", score.alias("score"))
+    i = found.withColumn("source_id", F.concat(F.lit("file:"), "file_path")).select(*edge("imports", F.when(F.col("resolved"), 100).otherwise(20)))
+    c = R.resolve_calls(calls, defs, imports).join(calls.select("call_id", "source_id"), "call_id").select(*edge("calls", F.col("score")))
+    bases = scratch(R.payload_bases(p, defs), "bases")
+    h = R.resolve_inheritances(bases, defs, imports).join(bases.select("inh_id", "source_id"), "inh_id").select(*edge("inherits", F.col("score")))
+    links = scratch(reduce(DataFrame.unionByName, (i, c, h)), "links")
+    nodes, inside = assemble(files, p, links.select(F.col("target_id").alias("target")))
+    return nodes, inside.withColumn("resolved", F.lit(1)).withColumn("confidence", F.lit("EXTRACTED")).withColumn("score", F.lit(100)).unionByName(links)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Call names too common to be resolved by being unique.
@@ -133,14 +133,21 @@ def import_candidates(imports: DataFrame) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_path, ord, path_text, target, resolved, confidence): first existing candidate, or the only file with that stem or folder; else external."""
+    """(file_path, ord, path_text, target, resolved, confidence): first existing candidate, the only file with that stem or folder, or that dotted path; else external."""
     f = files.select(F.col("rel_path").alias("candidate")).distinct()
     direct = import_candidates(imports).join(f, "candidate").groupBy("file_path", "ord").agg(F.min_by("candidate", "rank").alias("target"))
     last = lambda c: F.element_at(F.split(F.element_at(F.split(c, "/"), -1), r"\."), -1)
     named = files.select("rel_path", language_of(F.col("rel_path")).alias("lang"), F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"\.[^.]*$", "").alias("stem"), F.when(F.size(F.split("rel_path", "/")) > 1, F.element_at(F.split("rel_path", "/"), -2)).alias("folder")).where("lang in ('go', 'csharp', 'swift')").distinct()
     keys = named.select("rel_path", "lang", F.explode(F.array_distinct(F.array("stem", "folder"))).alias("key")).where("key is not null").groupBy("lang", "key").agg(F.min("rel_path").alias("lo"), F.max("rel_path").alias("hi")).where("lo = hi").select("lang", "key", F.col("lo").alias("only"))
-    x = imports.join(direct, ["file_path", "ord"], "left").withColumn("lang", language_of(F.col("file_path"))).withColumn("key", last(F.col("path_text"))).join(keys, ["lang", "key"], "left")
-    target = F.coalesce("target", "only")
+    # Java and Kotlin name a file by its dotted path: the only file that ends so
+    tail = files.select("rel_path", F.when(F.col("rel_path").endswith(".java"), "java").when(F.col("rel_path").endswith(".kt"), "kotlin").alias("lang")).where("lang is not null").distinct()
+    steps = F.split("rel_path", "/")
+    tail = tail.select("rel_path", "lang", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda k: F.array_join(F.slice(steps, k, F.size(steps)), "/"))).alias("dotted")).where("dotted <> ''")
+    tail = tail.groupBy("lang", "dotted").agg(F.min("rel_path").alias("lo"), F.max("rel_path").alias("hi")).where("lo = hi").select("lang", "dotted", F.col("lo").alias("whole"))
+    ending = F.concat(F.replace("path_text", F.lit("."), F.lit("/")), F.when(F.col("lang") == "java", ".java").otherwise(".kt"))
+    x = imports.join(direct, ["file_path", "ord"], "left").withColumn("lang", language_of(F.col("file_path"))).withColumn("dotted", ending).join(tail, ["lang", "dotted"], "left")
+    x = x.withColumn("lang", language_of(F.col("file_path"))).withColumn("key", last(F.col("path_text"))).join(keys, ["lang", "key"], "left")
+    target = F.coalesce("target", "only", "whole")
     return x.select("file_path", "ord", "path_text", F.coalesce(F.concat(F.lit("file:"), target), F.concat(F.lit("external:"), F.col("path_text"))).alias("target"), target.isNotNull().alias("resolved"), F.when(target.isNotNull(), "EXTRACTED").otherwise("AMBIGUOUS").alias("confidence"))
 
 
@@ -171,12 +178,12 @@ def resolve_calls(calls: DataFrame, defs: DataFrame, imports: DataFrame) -> Data
     t1 = c.where(own & F.col("class_id").isNotNull()).join(defs.where("class_id is not null").groupBy("class_id", "name").agg(F.max_by("id", F.struct("seq", "id")).alias("target")), ["class_id", "name"]).select("call_id", F.lit(1).alias("tier"), F.lit(0).alias("ord"), "target")
     t2 = c.where(no_recv).join(last, (F.col("file_path") == F.col("xf")) & (F.col("name") == F.col("xn"))).select("call_id", F.lit(2).alias("tier"), F.lit(0).alias("ord"), "target")
     by_name = imports.select(F.col("file_path").alias("f"), "target_file", "ord", F.explode("names").alias("imported"))
-    t3 = c.where(no_recv).join(by_name, (F.col("file_path") == F.col("f")) & (F.col("name") == F.col("imported"))).join(last, (F.col("target_file") == F.col("xf")) & (F.col("name") == F.col("xn"))).select("call_id", F.lit(3).alias("tier"), "ord", "target")
+    t3 = c.where(no_recv).join(by_name, (F.col("file_path") == F.col("f")) & (F.col("name") == F.col("imported"))).join(last, (F.col("target_file") == F.col("xf")) & (F.col("name") == F.col("xn"))).select("call_id", F.lit(3).alias("tier"), (-F.col("ord")).alias("ord"), "target")
     stem = F.regexp_replace(F.element_at(F.split("target_file", "/"), -1), r"\.[^.]*$", "")
     modules = imports.select(F.col("file_path").alias("f"), "target_file", "ord", F.explode(F.array_distinct(F.array(stem, F.replace(stem, F.lit("_"), F.lit(""))))).alias("module"))
     t4 = c.where(~no_recv & ~own).join(modules, (F.col("file_path") == F.col("f")) & (F.col("receiver") == F.col("module"))).join(last, (F.col("target_file") == F.col("xf")) & (F.col("name") == F.col("xn"))).select("call_id", F.lit(4).alias("tier"), "ord", "target")
     r = c.where(~no_recv & ~own).join(by_name, (F.col("file_path") == F.col("f")) & (F.col("receiver") == F.col("imported")))
-    t5 = r.select("call_id", "target_file", "ord", F.posexplode(F.array(F.concat_ws(".", "receiver", "name"), F.col("name"))).alias("k", "want")).join(last, (F.col("target_file") == F.col("xf")) & (F.col("want") == F.col("xn"))).select("call_id", F.lit(5).alias("tier"), (F.col("ord") * 2 + F.col("k")).alias("ord"), "target")
+    t5 = r.select("call_id", "target_file", "ord", F.posexplode(F.array(F.concat_ws(".", "receiver", "name"), F.col("name"))).alias("k", "want")).join(last, (F.col("target_file") == F.col("xf")) & (F.col("want") == F.col("xn"))).select("call_id", F.lit(5).alias("tier"), (F.col("k") - F.col("ord") * 2).alias("ord"), "target")
     free = c.where(no_recv & ~F.col("name").isin(NOISE_CALLS))
     anywhere = exports.groupBy(F.col("export").alias("xn")).agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("target")).where("k = 1")
     t6 = free.join(anywhere, F.col("name") == F.col("xn")).select("call_id", F.lit(6).alias("tier"), F.lit(0).alias("ord"), "target")
@@ -189,18 +196,74 @@ def resolve_calls(calls: DataFrame, defs: DataFrame, imports: DataFrame) -> Data
     return best.select("call_id", F.col("b.target").alias("target"), tier.alias("tier"), pick(0).alias("score"), pick(1).alias("confidence"), (tier < 8).alias("resolved"))
 
 
-def payload_calls(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls, defs) of payloads in the shape resolve_calls takes; a function inside a class is its method."""
-    d = definitions(payloads)
-    p = d.select("file_path", F.col("ord").alias("parent_ord"), F.col("kind").alias("pk"), F.col("name").alias("pn"))
-    x = d.where("kind <> 'class'").join(p, ["file_path", "parent_ord"], "left")
-    in_class = F.coalesce(F.col("pk") == "class", F.lit(False))
-    qualified = F.when(in_class, F.concat_ws(".", "pn", "name")).otherwise(F.col("name"))
-    defs = x.select(F.concat(F.lit("def:"), "file_path", F.lit("::"), qualified, F.lit("@"), F.col("start").cast("string")).alias("id"), "file_path", "name", qualified.alias("qualified_name"), F.when(in_class, F.concat_ws("::", "file_path", "pn")).alias("class_id"), F.col("start").alias("seq"))
+def symbols(payloads: DataFrame) -> DataFrame:
+    """(id, kind, name, qualified_name, file_path, seq, parent_id, class_id): the nodes of all definitions, seq their start.
+
+    Ids are <kind>:<path>::<qualified name>; a repeated one gets the suffix :L<line>.
+    A function inside another definition is a method; class_id is the class right around it.
+    """
+    d = definitions(payloads, with_line=True)
+    p = d.select("file_path", F.col("ord").alias("parent_ord"), F.col("name").alias("pn"), F.col("kind").alias("pk"))
+    kind = F.when((F.col("kind") == "function") & F.col("pn").isNotNull(), "method").otherwise(F.col("kind"))
+    x = d.join(p, ["file_path", "parent_ord"], "left").withColumn("k", kind).withColumn("q", F.concat_ws(".", "pn", "name"))
+    x = x.withColumn("r", F.row_number().over(Window.partitionBy("file_path", "k", "q").orderBy("start", "ord")))
+    node = F.concat("k", F.lit(":"), "file_path", F.lit("::"), "q", F.when(F.col("r") > 1, F.concat(F.lit(":L"), F.col("line").cast("string"))).otherwise(F.lit("")))
+    outer = F.concat("pk", F.lit(":"), "file_path", F.lit("::"), "pn")
+    parent = F.when(F.col("pn").isNull(), F.concat(F.lit("file:"), "file_path")).otherwise(outer)
+    return x.select(node.alias("id"), F.col("k").alias("kind"), "name", F.col("q").alias("qualified_name"), "file_path", F.col("start").alias("seq"), parent.alias("parent_id"), F.when((F.col("pk") == "class") & (F.col("k") == "method"), outer).alias("class_id"))
+
+
+def payload_calls(payloads: DataFrame, with_source: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(calls, defs) of payloads in the shape resolve_calls takes; with_source: calls with the node they lie in."""
+    defs = symbols(payloads).select("id", "file_path", "name", "qualified_name", "class_id", "seq", "kind")
     c = innermost_calls(payloads, with_start=True)
-    m = defs.where("class_id is not null").groupBy("file_path", F.col("name").alias("caller"), F.col("seq").alias("caller_start")).agg(F.min("class_id").alias("class_id"))
-    calls = c.join(m, ["file_path", "caller", "caller_start"], "left").select(F.concat_ws("@", "file_path", F.col("pos").cast("string"), "callee").alias("call_id"), "file_path", "class_id", F.col("callee").alias("name"), "receiver").distinct()
-    return calls, defs
+    m = defs.where("kind <> 'class'").groupBy("file_path", F.col("name").alias("caller"), F.col("seq").alias("caller_start")).agg(F.min("class_id").alias("class_id"), F.min("id").alias("source"))
+    source = [F.coalesce("source", F.concat(F.lit("file:"), "file_path")).alias("source_id")] if with_source else []
+    calls = c.join(m, ["file_path", "caller", "caller_start"], "left").select(F.concat_ws("@", "file_path", F.col("pos").cast("string"), "callee").alias("call_id"), "file_path", "class_id", F.col("callee").alias("name"), "receiver", *source).distinct()
+    return calls, defs.drop("kind")
+
+
+#: Tier to score in hundredths and confidence, for base classes.
+BASE_TIERS = {1: (100, "EXTRACTED"), 2: (95, "EXTRACTED"), 3: (90, "EXTRACTED"), 4: (75, "INFERRED"), 5: (20, "AMBIGUOUS")}
+
+
+def resolve_inheritances(bases: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
+    """(inh_id, target, tier, score, confidence, resolved) by the first tier that has an answer.
+
+    bases: inh_id, file_path, base_name. defs and imports as for resolve_calls.
+    Tiers: 1 the same file has the name as written, or its last part; 2 imported by
+    name; 3 the first imported file that has it; 4 the only one anywhere; 5
+    external. A null base has no row; repeated rows count once.
+    """
+    b = bases.where("base_name is not null").select("inh_id", "file_path", "base_name", F.element_at(F.split("base_name", r"\."), -1).alias("raw")).distinct()
+    exports = defs.select("id", "file_path", "seq", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("export")).where("export is not null")
+    last = exports.groupBy(F.col("file_path").alias("xf"), F.col("export").alias("xn")).agg(F.max_by("id", F.struct("seq", "id")).alias("target"))
+    row = lambda t, o: ("inh_id", F.lit(t).alias("tier"), o.cast("int").alias("ord"), "target")
+    t1 = b.select("inh_id", "file_path", F.posexplode(F.array_distinct(F.array("base_name", "raw"))).alias("k", "want")).join(last, (F.col("file_path") == F.col("xf")) & (F.col("want") == F.col("xn"))).select(*row(1, F.col("k")))
+    i = imports.select(F.col("file_path").alias("f"), "target_file", "ord", "names")
+    t2 = b.join(i.select("f", "target_file", "ord", F.explode("names").alias("imported")), (F.col("file_path") == F.col("f")) & (F.col("raw") == F.col("imported"))).join(last, (F.col("target_file") == F.col("xf")) & (F.col("raw") == F.col("xn"))).select(*row(2, -F.col("ord")))
+    t3 = b.join(i, F.col("file_path") == F.col("f")).join(last, (F.col("target_file") == F.col("xf")) & (F.col("raw") == F.col("xn"))).select(*row(3, F.col("ord")))
+    anywhere = exports.groupBy(F.col("export").alias("xn")).agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("target")).where("k = 1")
+    t4 = b.join(anywhere, F.col("raw") == F.col("xn")).select(*row(4, F.lit(0)))
+    t5 = b.withColumn("target", F.concat(F.lit("external:"), "base_name")).select(*row(5, F.lit(0)))
+    best = reduce(DataFrame.unionByName, (t1, t2, t3, t4, t5)).groupBy("inh_id").agg(F.min(F.struct("tier", "ord", "target")).alias("b"))
+    tier = F.col("b.tier")
+    pick = lambda k: reduce(lambda acc, t: acc.when(tier == t, BASE_TIERS[t][k]), BASE_TIERS, F)
+    return best.select("inh_id", F.col("b.target").alias("target"), tier.alias("tier"), pick(0).alias("score"), pick(1).alias("confidence"), (tier < 5).alias("resolved"))
+
+
+def payload_bases(payloads: DataFrame, defs: DataFrame) -> DataFrame:
+    """(inh_id, file_path, base_name, source_id) of the inheritances in payloads; the class is the definition that starts where the row says."""
+    x = payloads.select("file_path", F.explode("p.inheritances").alias("i")).select("file_path", F.col("i.base_name").alias("base_name"), F.col("i.class_start_byte").alias("seq"))
+    source = defs.groupBy("file_path", "seq").agg(F.min("id").alias("source_id"))
+    return x.join(source, ["file_path", "seq"]).select(F.concat_ws("@", "source_id", "base_name").alias("inh_id"), "file_path", "base_name", "source_id").distinct()
+
+
+def resolved_imports(payloads: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_path, target_file, names, ord) of the imports that lead to a file."""
+    i = file_imports(payloads)
+    hit = resolve_imports(i, files).where("resolved")
+    return hit.join(i, ["file_path", "ord", "path_text"]).select("file_path", F.regexp_replace("target", "^file:", "").alias("target_file"), "names", "ord")
 
 
 def extract_python(files: DataFrame) -> DataFrame:

@@ -67,12 +67,25 @@ def ranked(n: DataFrame, e: DataFrame, tiers: DataFrame) -> DataFrame:
     return x.select(F.row_number().over(Window.orderBy(rank, F.desc("edge_count"), "id")).alias("position"), "id", "tier", "edge_count")
 
 
+def halved(sizes: list[int], room: int, times: int = 5) -> int:
+    """How many of the sizes are kept: halved until their sum fits, at most so often, never below one."""
+    keep = len(sizes)
+    for _ in range(times):
+        if keep <= 1:
+            break
+        keep = max(1, keep // 2)
+        if sum(sizes[:keep]) <= room:
+            break
+    return keep
+
+
 def search(nodes: DataFrame, n: DataFrame, e: DataFrame, query: str, rows: int = 10, budget: int = 8000) -> DataFrame:
     """(position, id, tier, mode, block) within a token budget; budget 0 keeps everything.
 
-    Stages: as it is; without bridges; texts to signatures; to one-liners; then up
-    to five halvings of what is no anchor, fewest edges first out, one kept. The
-    first stage that fits is chosen on totals of at most a few dozen rows.
+    Stages: as it is; without bridges; texts to signatures; to one-liners; then
+    halvings of what is no anchor, at most five, fewest edges first out, one kept.
+    The first stage and the first halving that fit are chosen on totals of at most
+    a few dozen rows.
     """
     found = anchors(n, query, rows)
     if found.isEmpty():
@@ -92,9 +105,10 @@ def search(nodes: DataFrame, n: DataFrame, e: DataFrame, query: str, rows: int =
     mode, tiers = next(((k, t) for k, t in stages if not budget or total(k, t) <= budget), ("map", core))
     out = x.where(F.col("tier").isin(*tiers))
     if budget and total(mode, tiers) > budget:
-        rest = out.where("tier <> 'anchor'").orderBy(F.desc("edge_count"), "id")
-        keep = max(1, rest.count() >> 5)
-        out = out.where("tier = 'anchor'").unionByName(rest.limit(keep))
+        order = (F.desc("edge_count"), "id")
+        sizes = [r[0] for r in out.where("tier <> 'anchor'").orderBy(*order).select(size[mode]).collect()]  # the rows that expand allows: a few dozen
+        keep = halved(sizes, budget - total(mode, ("anchor",)))
+        out = out.where("tier = 'anchor'").unionByName(out.where("tier <> 'anchor'").orderBy(*order).limit(keep))
     return out.select("position", "id", "tier", F.lit(mode).alias("mode"), F.concat(F.lit("--- START "), "id", F.lit("\n"), F.col(mode), F.lit("\n--- END")).alias("block"))
 
 

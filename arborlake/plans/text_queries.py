@@ -55,9 +55,15 @@ _THREATS = [
     ("injection", r"(?i)\bsystem\s+prompt\s+override\b"),
     ("injection", r"(?i)\bdisregard\s+(?:all\s+|any\s+)?(?:prior|previous)\s+(?:guidelines|instructions)\b"),
     ("destructive", r"(?i)\brm\s+-(?:rf|fr)\s+(?:/|~|\$HOME|\*\s*$)"),
+    ("destructive", r"(?i)\bdel\s+/[sfq]\s+[a-z]:\\"),
     ("destructive", r"(?i)\bmkfs(?:\.\w+)?\b"),
+    ("destructive", r"(?i)\bdd\s+if=.*of=/dev/[sh]d[a-z]"),
     ("persistence", r"(?i)\bcrontab\b"),
+    ("persistence", r"(?i)\b(?:~/\.(?:bashrc|zshrc|profile)|/etc/cron)"),
+    ("persistence", r"(?i)\b(?:systemctl\s+enable|launchctl\s+load)\b"),
     ("network", r"(?i)\b(?:ngrok|localtunnel|cloudflared)\b"),
+    ("network", r"(?i)\b(?:ssh\s+-R|reverse\s+tunnel)\b"),
+    ("obfuscation", r"(?i)\b(?:base64\s+-d|base64\s+--decode)\s*\|\s*(?:bash|sh|pwsh)"),
     ("obfuscation", r"(?i)\b(?:eval|exec)\s*\(\s*(?:base64\.|bytes\.fromhex|__import__)"),
 ]
 

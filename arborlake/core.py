@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,9 @@ LOCAL_ROWS = 200_000
 #: A broadcast side must stay below this many rows, counted before use.
 BROADCAST_ROWS = 50_000
 
+#: Rows of one key from which it is not sent to one task.
+HOT_ROWS = 100_000
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -38,9 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local folder on a local master, an error on a cluster."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         there = os.path.join(tempfile.gettempdir(), f"arborlake-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
@@ -58,17 +64,27 @@ def scratch(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:
+        pass
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more, as of the round before the last."""
+    files = df.inputFiles()[:1]
+    for spark, path in [x for x in _scratch if files and x[1].rpartition("/")[2] in files[0]]:
+        _scratch.remove((spark, path))
+        _delete(spark, path)
+
+
 @atexit.register
 def drop_scratch() -> None:
     """Delete every scratch table of this driver."""
     while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:
-            pass
+        _delete(*_scratch.pop())
 
 
 def pieces(df_rows: int, per_task: int, spark: SparkSession) -> int:
@@ -76,26 +92,23 @@ def pieces(df_rows: int, per_task: int, spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), -(-df_rows // per_task), 1)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 64) -> DataFrame:
-    """left LEFT JOIN right USING (key), where right has one row a key and left may be skewed.
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left LEFT JOIN right USING (key), where right has one row a key and left, of that many rows, may be skewed.
 
-    Keys that hold more than rows/share rows of left number fewer than share by
-    counting, so their rows of right are broadcast; the others meet by a shuffle.
-    Keys are compared as equal values; a null key finds nothing.
+    Keys with more than hot_rows rows of left (more where that would be over
+    BROADCAST_ROWS keys, so their number is bounded by counting) meet their row of
+    right by broadcast; the others meet by a shuffle. Keys are compared as equal
+    values; a null key finds nothing and is not shuffled.
     """
-    hot = [
-        r[0]
-        for r in left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(rows // share, 1000)).select(key).take(share + 1)
-    ]
-    if not hot:
-        return left.join(right, key, "left")
-    assert len(hot) <= share
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return (
-        left.where(~is_hot)
-        .join(right.where(~F.col(key).isin(hot)), key, "left")
-        .unionByName(left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, "left"))
-    )
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(rows // BROADCAST_ROWS, hot_rows)).select(key)
+    hot = scratch(hot, "hot")
+    if hot.isEmpty():
+        none = left.where(F.col(key).isNull())
+        return left.where(F.col(key).isNotNull()).join(right, key, "left").unionByName(none.join(F.broadcast(right.limit(0)), key, "left"))
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    stay = F.col("_hot").isNotNull() | F.col(key).isNull()
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    return marked.where(~stay).drop("_hot").join(right, key, "left").unionByName(marked.where(stay).drop("_hot").join(few, key, "left"))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

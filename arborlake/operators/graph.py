@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.core import bucket, lookup, scratch
+from arborlake.core import bucket, drop, lookup, scratch
+from arborlake.operators.windows import numbered
 
 #: Names too common to be hubs.
 NOISE_LABELS = (
@@ -185,7 +186,8 @@ def community_top_files(n: DataFrame, top: int = 5) -> DataFrame:
 def renumbered_communities(n: DataFrame) -> DataFrame:
     """(community_id, new_id): 1-based by size descending, then smallest member id. Only one row a community is ordered."""
     s = n.where(F.col("kind").isin(*CLUSTERABLE) & F.col("community_id").isNotNull()).groupBy("community_id").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
-    return s.select("community_id", F.row_number().over(Window.orderBy(F.desc("size"), "first")).alias("new_id"))
+    x = numbered(s.withColumn("smaller", -F.col("size")), ["smaller", "first"], "new_id", 1)
+    return x.select("community_id", F.col("new_id").cast("int").alias("new_id"))
 
 
 def reattach_hubs(n: DataFrame, e: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -327,10 +329,10 @@ def impact_risk(n: DataFrame, e: DataFrame, communities: DataFrame, targets: Dat
     return one.withColumn("risk", risk)
 
 
-def import_cycles(e: DataFrame, max_len: int = 4) -> DataFrame:
-    """(length, cycle): simple import cycles between files up to max_len, each once from its smallest file.
+def import_cycles(e: DataFrame, max_len: int | None = None) -> DataFrame:
+    """(length, cycle): simple import cycles between files, each once from its smallest file; of any length unless max_len is given.
 
-    A canonical answer in place of the order-dependent depth-first one. Files that
+    Paths grow by a file a round until none is open. A canonical answer in place of the order-dependent depth-first one. Files that
     are on no cycle are trimmed first: whoever has no edge in or none out goes.
     """
     f = e.where("kind = 'imports' and resolved = 1 and source_id like 'file:%' and target_id like 'file:%' and source_id <> target_id").select("source_id", "target_id").distinct()
@@ -344,31 +346,43 @@ def import_cycles(e: DataFrame, max_len: int = 4) -> DataFrame:
         if done:
             break
     paths = f.where("source_id < target_id").select(F.array("source_id", "target_id").alias("p"), F.col("target_id").alias("end"))
-    out = []
-    for k in range(2, max_len + 1):
+    out, k = [], 2
+    while True:
+        paths = scratch(paths, "paths")
+        if paths.isEmpty() and out:
+            break
         closed = paths.join(f, paths.end == f.source_id).where(F.col("target_id") == F.col("p")[0])
         out.append(closed.select(F.lit(k).alias("length"), F.array_join("p", " > ").alias("cycle")))
-        if k < max_len:
-            paths = paths.join(f, paths.end == f.source_id).where((F.col("target_id") > F.col("p")[0]) & ~F.array_contains("p", F.col("target_id"))).select(F.concat("p", F.array("target_id")).alias("p"), F.col("target_id").alias("end"))
+        if k == max_len:
+            break
+        paths = paths.join(f, paths.end == f.source_id).where((F.col("target_id") > F.col("p")[0]) & ~F.array_contains("p", F.col("target_id"))).select(F.concat("p", F.array("target_id")).alias("p"), F.col("target_id").alias("end"))
+        k += 1
     return reduce(DataFrame.unionByName, out)
 
 
-def topological_levels(n: DataFrame, e: DataFrame, max_levels: int = 500) -> DataFrame:
+def topological_levels(n: DataFrame, e: DataFrame) -> DataFrame:
     """(id, level): 0 for nodes without dependencies, else one more than the deepest dependency; null on or above a cycle.
 
-    Peels one level a round over contains, calls and inherits among clusterable nodes; self edges do not count.
+    Peels one level a round over contains, calls and inherits among clusterable
+    nodes until a round finds none; self edges do not count. A round writes what is
+    left of the nodes and edges; the tables of the round before are deleted.
     """
     m = n.where(F.col("kind").isin(*CLUSTERABLE)).select("id").distinct()
     d = e.where("kind in ('contains', 'calls', 'inherits') and source_id <> target_id").select("source_id", "target_id").distinct()
     d = scratch(d.join(m.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(m.withColumnRenamed("id", "target_id"), "target_id", "left_semi"), "deps")
-    left, done = scratch(m, "left"), None
-    for level in range(max_levels):
-        ready = scratch(left.join(d.select(F.col("source_id").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(level).alias("level")), "level")
+    left, done, level = scratch(m, "left"), None, 0
+    while True:
+        waiting = d.select(F.col("source_id").alias("id")).distinct().withColumn("w", F.lit(True))
+        state = scratch(left.join(waiting, "id", "left"), "level")
+        ready = state.where("w is null").select("id", F.lit(level).alias("level"))
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
-        left = scratch(left.join(ready.select("id"), "id", "left_anti"), "left")
-        d = scratch(d.join(ready.select(F.col("id").alias("target_id")), "target_id", "left_anti").select("source_id", "target_id"), "deps")
+        rest = scratch(d.join(ready.select(F.col("id").alias("target_id")), "target_id", "left_anti").select("source_id", "target_id"), "deps")
+        drop(d)
+        if level == 0:
+            drop(left)
+        d, left, level = rest, state.where("w").select("id"), level + 1
     rest = left.select("id", F.lit(None).cast("int").alias("level"))
     return rest if done is None else done.unionByName(rest)
 

@@ -84,9 +84,18 @@ def cache_state(files: DataFrame, cache: DataFrame) -> DataFrame:
 def definitions(payloads: DataFrame, with_line: bool = False) -> DataFrame:
     """(file_path, ord, kind, name, start, end, parent_ord[, line]): parent is the innermost definition that encloses it, the earlier one on equal ranges."""
     d = payloads.select("file_path", F.array_sort(F.transform("p.definitions", lambda x: F.struct(x["start_byte"].alias("s"), (-x["end_byte"]).alias("neg"), x["local_name"].alias("name"), x["kind"].alias("kind"), x["start_line"].alias("line")))).alias("ds")).where(F.size("ds") > 0)
-    x = d.select("file_path", "ds", F.posexplode("ds").alias("ord", "x"))
-    around = F.filter(F.transform(F.sequence(F.lit(0), F.col("ord")), lambda k: F.when((k < F.col("ord")) & (F.get("ds", k)["s"] <= F.col("x.s")) & (F.get("ds", k)["neg"] <= F.col("x.neg")), k)), lambda k: k.isNotNull())
-    return x.select("file_path", "ord", F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), F.col("x.s").alias("start"), (-F.col("x.neg")).alias("end"), F.array_max(around).alias("parent_ord"), *([F.col("x.line").alias("line")] if with_line else []))
+    # one sweep in order of start: of the definitions still open the last that encloses the next one
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, k):
+        x = F.get("ds", k)
+        still = F.filter(acc["open"], lambda o: -F.get("ds", o)["neg"] > x["s"])
+        around = F.array_max(F.filter(acc["open"], lambda o: F.get("ds", o)["neg"] <= x["neg"]))
+        return F.struct(F.concat(still, F.array(k)).alias("open"), F.concat(acc["out"], F.array(around)).alias("out"))
+
+    nested = d.select("file_path", "ds", F.aggregate(F.sequence(F.lit(0), F.size("ds") - 1), start, step, lambda acc: acc["out"]).alias("up"))
+    x = nested.select("file_path", F.posexplode(F.arrays_zip(F.col("ds").alias("x"), F.col("up").alias("up"))).alias("ord", "z")).select("file_path", "ord", "z.x", "z.up")
+    return x.select("file_path", "ord", F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), F.col("x.s").alias("start"), (-F.col("x.neg")).alias("end"), F.col("up").alias("parent_ord"), *([F.col("x.line").alias("line")] if with_line else []))
 
 
 def innermost_calls(payloads: DataFrame, with_start: bool = False) -> DataFrame:

@@ -7,9 +7,12 @@ that is run again leaves the same tables.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlake.core import bucket, scratch
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -46,16 +49,23 @@ def drain(intents: DataFrame, valid, accepted: str, rejected: str, checkpoint: s
     return intents.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_cache(payloads: DataFrame, cache: str, checkpoint: str):
-    """Start keeping the newest payload of each file in a table of generations; a batch merges the last generation with its rows."""
+def upsert_cache(payloads: DataFrame, cache: str, checkpoint: str, buckets: int = 64):
+    """Start keeping the newest payload of each file in a table in buckets by path; a batch rewrites the buckets it touches, no others.
+
+    A batch that is run again merges to the same rows.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{cache}/generation={epoch - 1}"))
-        best = rows.groupBy("file_path").agg(F.max(F.struct("updated_at", "sha256", "payload_json")).alias("m"))
-        best.select("file_path", "m.updated_at", "m.sha256", "m.payload_json").write.mode("overwrite").parquet(f"{cache}/generation={epoch}")
+        new = scratch(batch.where("file_path is not null").select("file_path", "updated_at", "sha256", "payload_json", bucket("file_path", buckets).alias("bucket")), "batch")
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # buckets rows at most
+        try:
+            rows = new.unionByName(spark.read.schema(new.schema).parquet(cache).where(F.col("bucket").isin(touched)))
+        except AnalysisException:  # the first batch
+            rows = new
+        best = rows.groupBy("bucket", "file_path").agg(F.max(F.struct("updated_at", "sha256", "payload_json")).alias("m"))
+        best = scratch(best.select("file_path", "m.updated_at", "m.sha256", "m.payload_json", "bucket"), "merged")
+        best.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(cache)
 
     return payloads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

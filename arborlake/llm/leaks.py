@@ -120,6 +120,12 @@ def smith_waterman_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return best
 
 
+def most_score(b: np.ndarray) -> int:
+    """No alignment with b scores more: inside its span every word that is none of the other text's (0) costs a gap or a mismatch."""
+    total = np.concatenate([[0], np.cumsum(np.where(b > 0, MATCH, max(GAP, MISMATCH)))])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """(words of the longest run common to both, where it begins in b)."""
     best, where = 0, 0
@@ -274,14 +280,20 @@ def _aligned(stretches: DataFrame, item_words: DataFrame, seeds: DataFrame, n: i
                 keys = np.unique(v)
                 x, y = np.searchsorted(keys, v) + 1, np.minimum(np.searchsorted(keys, w), len(keys) - 1)
                 y = np.where(keys[y] == w, y + 1, 0)
-                q = np.nonzero(np.isin(grams(w.view(np.uint64), n).view(np.int64), np.asarray(g, dtype=np.int64)))[0]
-                wide = len(v) + len(v) // 2
-                lo, hi = np.maximum(q - wide, 0), np.minimum(q + wide, len(w))
+                own, here = grams(v.view(np.uint64), n).view(np.int64), grams(w.view(np.uint64), n).view(np.int64)
+                q = np.nonzero(np.isin(here, np.asarray(g, dtype=np.int64)))[0]
+                order = np.argsort(own, kind="stable")
+                first, last = (np.searchsorted(own[order], here[q], side=side) for side in ("left", "right"))
+                lo = np.maximum(q - order[last - 1] - len(v) // 2, 0)
+                hi = np.minimum(q - order[first] + len(v) + len(v) // 2, len(w))
+                lo, hi = np.minimum.accumulate(lo[::-1])[::-1], np.maximum.accumulate(hi)
                 cut = np.nonzero(np.append(True, lo[1:] > hi[:-1]))[0]
                 for c, z in zip(cut, np.append(cut[1:], len(q)) - 1, strict=True):
-                    of.append(r)
-                    pairs.append((x, y[lo[c] : hi[z]]))
-                    offsets.append(int(lo[c]))
+                    part = y[lo[c] : hi[z]]
+                    if most_score(part) >= least_score:
+                        of.append(r)
+                        pairs.append((x, part))
+                        offsets.append(int(lo[c]))
             rows = []
             for r, (x, y), o, score in zip(of, pairs, offsets, smith_waterman_many(pairs), strict=True):
                 if score >= least_score:

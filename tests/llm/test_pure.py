@@ -186,6 +186,7 @@ def test_smith_waterman_is_the_textbook_table(a, b):
         for j, y in enumerate(b):
             h[i + 1][j + 1] = max(0, h[i][j] + (K.MATCH if x == y else K.MISMATCH), h[i][j + 1] + K.GAP, h[i + 1][j] + K.GAP)
     assert K.smith_waterman(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))[0] == max(map(max, h))
+    assert K.most_score(np.array([y if y in a else 0 for y in b], dtype=np.int64)) >= max(map(max, h))
 
 
 def test_smith_waterman_of_many_is_that_of_each():

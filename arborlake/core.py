@@ -17,7 +17,7 @@ LOCAL_ROWS = 200_000
 BROADCAST_ROWS = 50_000
 
 #: Rows of one key from which it is not sent to one task.
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -100,9 +100,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, hot_rows: int
     right by broadcast; the others meet by a shuffle. Keys are compared as equal
     values; a null key finds nothing and is not shuffled.
     """
-    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(rows // BROADCAST_ROWS, hot_rows)).select(key)
-    hot = scratch(hot, "hot")
-    if hot.isEmpty():
+    most = max(rows // BROADCAST_ROWS, hot_rows)
+    if rows > most:
+        hot = scratch(left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > most).select(key), "hot")
+    if rows <= most or hot.isEmpty():
         none = left.where(F.col(key).isNull())
         return left.where(F.col(key).isNotNull()).join(right, key, "left").unionByName(none.join(F.broadcast(right.limit(0)), key, "left"))
     marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")

@@ -81,5 +81,6 @@ def test_concepts(spark):
 def test_skewed_lookup(spark):
     left = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"), "id")
     right = spark.createDataFrame([("hot", 1), ("2", 2)], "k string, v int")
-    got = lookup(left, right, "k", 9000)
-    assert got.count() == 9000 and got.where("v = 1").count() == 3000 and got.where("v = 2").count() == 1
+    for hot_rows in (1000, 10_000):
+        got = lookup(left, right, "k", 9000, hot_rows)
+        assert got.count() == 9000 and got.where("v = 1").count() == 3000 and got.where("v = 2").count() == 1 and got.where("k is null").count() == 3000

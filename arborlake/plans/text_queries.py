@@ -100,7 +100,7 @@ def _savings(s, d, by):
 
 _SAVE = "count(*) AS runs, sum(raw)::BIGINT AS raw, sum(filtered)::BIGINT AS filtered, sum(greatest(0, raw - filtered))::BIGINT AS saved, CASE WHEN sum(raw) > 0 THEN floor(sum(greatest(0, raw - filtered)) * 1000 / sum(raw))::BIGINT ELSE 0 END AS permille FROM (SELECT event_type, floor(value)::BIGINT AS raw, (props->>'k')::BIGINT AS filtered FROM events)"
 
-_SPEC = L.SPECS[1]  # changelog: keep headings and fixes
+_SPEC = next(x for x in L.SPECS if x.name == "changelog")  # changelog: keep headings and fixes
 
 _INTENT = [
     ("full", "fix modify refactor change update add implement edit write".split()),

@@ -247,7 +247,7 @@ def resolve_inheritances(bases: DataFrame, defs: DataFrame, imports: DataFrame)
     b = bases.where("base_name is not null").select("inh_id", "file_path", "base_name", F.element_at(F.split("base_name", r"\."), -1).alias("raw")).distinct()
     exports = defs.select("id", "file_path", "seq", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("export")).where("export is not null")
     last = exports.groupBy(F.col("file_path").alias("xf"), F.col("export").alias("xn")).agg(F.max_by("id", F.struct("seq", "id")).alias("target"))
-    row = lambda t, o: ("inh_id", F.lit(t).alias("tier"), o.cast("int").alias("ord"), "target")
+    row = lambda t, o: ("inh_id", F.lit(t).alias("tier"), o.cast("long").alias("ord"), "target")
     t1 = b.select("inh_id", "file_path", F.posexplode(F.array_distinct(F.array("base_name", "raw"))).alias("k", "want")).join(last, (F.col("file_path") == F.col("xf")) & (F.col("want") == F.col("xn"))).select(*row(1, F.col("k")))
     i = imports.select(F.col("file_path").alias("f"), "target_file", "ord", "names")
     t2 = b.join(i.select("f", "target_file", "ord", F.explode("names").alias("imported")), (F.col("file_path") == F.col("f")) & (F.col("raw") == F.col("imported"))).join(last, (F.col("target_file") == F.col("xf")) & (F.col("raw") == F.col("xn"))).select(*row(2, -F.col("ord")))

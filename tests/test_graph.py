@@ -201,6 +201,13 @@ def test_base_classes_by_tiers(spark):
     assert got == {b: (t, k, k < 5) for b, (t, k) in want.items()}
 
 
+def test_base_classes_with_orders_beyond_int(spark):
+    defs = spark.createDataFrame([("c:b::Base", "p/b.py", "Base", "Base", None, 1), ("c:c::Base", "p/c.py", "Base", "Base", None, 1)], "id string, file_path string, name string, qualified_name string, class_id string, seq int")
+    imports = spark.createDataFrame([("p/a.py", "p/b.py", [], 9_000_000_001), ("p/a.py", "p/c.py", [], 9_000_000_000), ("p/z.py", "p/b.py", ["Base"], 9_000_000_001), ("p/z.py", "p/c.py", ["Base"], 9_000_000_000)], "file_path string, target_file string, names array<string>, ord long")
+    bases = spark.createDataFrame([("1", "p/a.py", "Base"), ("2", "p/z.py", "Base")], "inh_id string, file_path string, base_name string")
+    assert {r.inh_id: (r.target, r.tier) for r in R.resolve_inheritances(bases, defs, imports).collect()} == {"1": ("c:c::Base", 3), "2": ("c:b::Base", 2)}
+
+
 def test_whole_graph_of_a_small_tree(spark):
     import json
 

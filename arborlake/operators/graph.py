@@ -388,41 +388,75 @@ def topological_levels(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def topological_order(n: DataFrame, e: DataFrame, max_nodes: int = 100_000) -> DataFrame:
-    """(position, id): Kahn's order with the smallest ready id first, cyclic remainder by id; one task, so at most max_nodes nodes."""
+    """(position, id): Kahn's order with the smallest ready id first, cyclic remainder by id, of any number of nodes.
+
+    The place of a node in that order is a key, an array of ranks by id: of the key of each dependency
+    the ranks above its own, the greatest of these, then its own rank. A round gives the keys of
+    one level of the nodes, as topological_levels peels them, and writes what is left, so there are as
+    many rounds as levels until at most max_nodes nodes are left. One task orders these by a
+    heap; there, nodes below one another share the key of the first, and sub tells them apart.
+    Null ids are no nodes.
+    """
     import heapq
 
     import pandas as pd
 
-    m = n.where(F.col("kind").isin(*CLUSTERABLE)).select("id").distinct()
-    if m.count() > max_nodes:
-        raise ValueError(f"more than {max_nodes} nodes: use topological_levels")
+    m = n.where(F.col("kind").isin(*CLUSTERABLE) & F.col("id").isNotNull()).select("id").distinct()
+    ids = scratch(numbered(m, ["id"], "r"), "ranks")
+    rank = lambda x, y: ids.select(F.col("id").alias(x), F.col("r").alias(y))
     d = e.where("kind in ('contains', 'calls', 'inherits') and source_id <> target_id").select("source_id", "target_id").distinct()
-    d = d.join(m.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(m.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    rows = m.select(F.col("id").alias("s"), F.lit(None).cast("string").alias("t")).unionByName(d.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))).withColumn("k", F.lit(1))
+    d = scratch(d.join(rank("source_id", "s"), "source_id").join(rank("target_id", "t"), "target_id").select("s", "t"), "deps")
+    none = F.array().cast("array<long>")
+    left, state, done, size = ids.select("r", F.lit(None).cast("array<long>").alias("best")), None, [], ids.count()
+    while size > max_nodes:
+        waiting = d.select(F.col("s").alias("r")).distinct().withColumn("w", F.lit(True))
+        before, state = state, scratch(left.join(waiting, "r", "left"), "state")
+        left = state.select("r", "best")
+        if before is not None:
+            drop(before)
+        ready = scratch(state.where("w is null").select("r", F.concat(F.coalesce("best", none), F.array("r")).alias("key")), "ready")
+        gone = ready.count()
+        if not gone:
+            break
+        done.append(ready.select("r", "key", F.lit(0).alias("sub")))
+        met = scratch(lookup(d, ready.withColumnRenamed("r", "t"), "t", d.count()).select("s", "t", "key"), "deps")
+        drop(d)
+        gain = met.where("key is not null").groupBy(F.col("s").alias("r")).agg(F.max(F.filter("key", lambda x: x > F.col("s"))).alias("gain"))
+        left = state.where("w").select("r", "best").join(gain, "r", "left").select("r", F.greatest("best", "gain").alias("best"))
+        d, size = met.where("key is null").select("s", "t"), size - gone
+    if size > max_nodes:  # all on or above a cycle
+        done.append(left.select("r", F.lit(None).cast("array<long>").alias("key"), F.lit(0).alias("sub")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        waits: dict[str, int] = {}
-        users: dict[str, list[str]] = {}
-        for s, t in zip(pdf["s"], pdf["t"], strict=True):
+        waits: dict[int, int] = {}
+        users: dict[int, list[int]] = {}
+        key: dict[int, tuple[int, ...]] = {}
+        for s, t, best in zip(pdf["s"].tolist(), pdf["t"].tolist(), pdf["best"], strict=True):
             waits.setdefault(s, 0)
-            if isinstance(t, str):
+            if t < 0:
+                key[s] = (*(() if best is None else best.tolist()), s)
+            else:
                 waits[s] += 1
                 users.setdefault(t, []).append(s)
-        ready = [i for i, w in waits.items() if not w]
+        ready = [(key[i], i) for i, w in waits.items() if not w]
         heapq.heapify(ready)
         out = []
         while ready:
-            i = heapq.heappop(ready)
-            out.append(i)
+            k, i = heapq.heappop(ready)
+            out.append((i, k, len(out)))
             for u in users.get(i, ()):
+                key[u] = max(key[u], k if k[-1] > u else (*(x for x in k if x > u), u))
                 waits[u] -= 1
                 if not waits[u]:
-                    heapq.heappush(ready, u)
-        placed = set(out)
-        out += sorted(i for i in waits if i not in placed)
-        return pd.DataFrame({"position": range(len(out)), "id": out})
-
-    return rows.groupBy("k").applyInPandas(run, "position int, id string")
+                    heapq.heappush(ready, (key[u], u))
+        out += [(i, None, 0) for i, w in waits.items() if w]
+        return pd.DataFrame(out, columns=["r", "key", "sub"])
+
+    if size <= max_nodes:
+        rows = left.select(F.col("r").alias("s"), F.lit(-1).cast("long").alias("t"), "best").unionByName(d.select("s", "t", F.lit(None).cast("array<long>").alias("best")))
+        done.append(rows.groupBy(F.lit(1).alias("k")).applyInPandas(run, "r long, key array<long>, sub int"))
+    out = reduce(DataFrame.unionByName, done).select("r", F.col("key").isNull().alias("late"), F.coalesce("key", none).alias("key"), "sub")
+    return numbered(out.join(ids, "r"), ["late", "key", "sub", "r"], "position").select(F.col("position").cast("int").alias("position"), "id")
 
 
 def incident_summary(n: DataFrame, e: DataFrame, relations: int = 20) -> DataFrame:

@@ -73,6 +73,32 @@ def test_cycles_and_order(spark):
     assert [r.id for r in G.topological_order(n, e).orderBy("position").collect()] == ["w", "v", "u", "x", "y", "z"]
 
 
+@pytest.mark.parametrize("most", [0, 25, 100])
+def test_order_of_more_nodes_than_one_task_takes(spark, most):
+    rng = random.Random(9)
+    ids = [f"n{k:02d}" for k in range(60)]
+    rank = rng.sample(ids, 60)  # most edges lead down in this order, so that few are on cycles
+    pairs = {(rank[a], rank[b]) for a, b in (sorted(rng.sample(range(60), 2), reverse=True) for _ in range(70))} | {(rank[50], rank[57]), (rank[57], rank[50])}
+    waits, want = {i: {b for a, b in pairs if a == i} for i in ids}, []
+    while ready := [i for i in ids if i not in want and waits[i] <= set(want)]:
+        want.append(ready[0])
+    assert 25 < len(want) < 60
+    want += [i for i in ids if i not in want]
+    n = G.node_view(nodes(spark, [(x, "function", "f.py", None) for x in [*ids, ids[0], None]]))
+    e = edges(spark, [(a, b, "calls", 1, None) for a, b in [*pairs, (ids[3], ids[3]), (ids[4], "gone"), (None, ids[1])]])
+    got = G.topological_order(n, e, most)
+    assert got.dtypes == [("position", "int"), ("id", "string")]
+    assert [tuple(r) for r in got.orderBy("position").collect()] == list(enumerate(want))
+
+
+def test_order_of_cycles_alone_and_of_nothing(spark):
+    n = G.node_view(nodes(spark, [(x, "method", "f.py", None) for x in "ba"]))
+    e = edges(spark, [("a", "b", "calls", 1, None), ("b", "a", "calls", 1, None)])
+    for most in (1, 2):
+        assert [tuple(r) for r in G.topological_order(n, e, most).orderBy("position").collect()] == [(0, "a"), (1, "b")]
+    assert G.topological_order(n.limit(0), e).count() == 0
+
+
 @pytest.mark.parametrize("partitions", ["3", "7"])
 def test_communities(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
